@@ -1,6 +1,6 @@
 """DataFrame operators."""
 
-from cohortline.operators.asof import asof_backward_last, asof_forward_first
+from cohortline.operators.asof import asof_backward_last, asof_forward_first, attach_first
 from cohortline.operators.attrition import attrition_attach, attrition_events, attrition_unique
 from cohortline.operators.audit import (
     audit_composite,
@@ -23,7 +23,6 @@ from cohortline.operators.audit import (
 from cohortline.operators.dedupe import dedupe_first, dedupe_last, latest_snapshot
 from cohortline.operators.demographics import enrich_demographics
 from cohortline.operators.history import (
-    first_after,
     retention_at,
     retention_avg,
     running_units,
@@ -40,7 +39,7 @@ from cohortline.operators.rates import (
     share_by_group,
     value_counts,
 )
-from cohortline.operators.skew import heavy_keys, salted_join
+from cohortline.operators.skew import heavy_keys, left_fan_out, salted_join
 from cohortline.operators.stages import (
     coalesce_segment,
     cohort_funnel,

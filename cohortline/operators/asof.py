@@ -9,6 +9,7 @@ key: the join stays one-to-many and never pairs all events with all anchors.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,3 +72,29 @@ def asof_backward_last(
     if how == "left":
         return base.select(*on).distinct().join(found, on, "left")
     return found
+
+
+def attach_first(
+    base: DataFrame, events: DataFrame, on: str | Sequence[str], anchor: str, ts: str, strict: bool = False, heavy: Sequence[int] = ()
+) -> DataFrame:
+    """Add ``ts``: the first event time at/after the row's own anchor, NULL when there is none.
+
+    For narrow frames with one row per key (ids and dates).  One left join and one
+    group-by on the same partitioning: a chain of stages shuffles each event source
+    once and never reads the base twice.
+    """
+    keys = as_list(on)
+    cols = base.columns
+    left, right, by = base, events.select(*keys, F.col(ts).alias("_t")), keys
+    if heavy:
+        salts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = F.xxhash64(*keys).isin(*heavy)
+        slots = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        slot = F.pmod(F.xxhash64("_t") + F.spark_partition_id(), F.lit(salts)).cast("int")
+        left = base.withColumn("_salt", F.explode(slots))
+        right = right.withColumn("_salt", F.when(hot, slot).otherwise(0))
+        by = [*keys, "_salt"]
+    right = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)})
+    match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(by)])
+    after = (F.col("_t") > F.col(anchor)) if strict else (F.col("_t") >= F.col(anchor))
+    return left.join(right, match & after, "left").groupBy(*cols).agg(F.min("_t").alias(ts))

@@ -48,18 +48,26 @@ def status_asof_flag(
 
 
 def retention_at(
-    base: DataFrame, snaps: DataFrame, on: str | Sequence[str], anchor: str, ts: str, metrics: Mapping[str, str], heavy: Sequence[int] = ()
+    base: DataFrame,
+    snaps: DataFrame,
+    on: str | Sequence[str],
+    anchor: str,
+    ts: str,
+    metrics: Mapping[str, str],
+    anchors: DataFrame | None = None,
+    heavy: Sequence[int] = (),
 ) -> DataFrame:
     """First known value of each metric in a snapshot after the anchor, attached wide.
 
     ``metrics`` maps a metric column to its short name; adds the metric and
-    ``<name>_date``.
+    ``<name>_date``.  ``anchors`` is a narrow frame with the keys and the anchor, to look
+    events up from where ``base`` is wide.
     """
     keys = as_list(on)
     out = base
     for metric, name in metrics.items():
         known = snaps.where(F.col(metric).isNotNull()).select(*keys, ts, F.col(metric).cast("int").alias(metric))
-        first = asof_forward_first(base, known, keys, anchor, ts, strict=True, tie=metric, heavy=heavy)
+        first = asof_forward_first(base if anchors is None else anchors, known, keys, anchor, ts, strict=True, tie=metric, heavy=heavy)
         out = with_stage(out, first.withColumnRenamed(ts, f"{name}_date"), keys)
     return out
 
@@ -91,9 +99,3 @@ def running_units(df: DataFrame, key: str, period: str, sums: Mapping[str, Colum
     totals = df.groupBy(key, period).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
     window = Window.partitionBy(key).orderBy(period)
     return totals.withColumns({f"cumulative_{name}": F.sum(name).over(window) for name in sums})
-
-
-def first_after(base, snaps, on, anchor, ts, stage_flag, zero=(), tie=(), heavy=()):
-    """First snapshot or record strictly after the anchor, attached as a stage."""
-    found = asof_forward_first(base, snaps, on, anchor, ts, strict=True, tie=tie, heavy=heavy)
-    return with_stage(base, found, on, stage_flag, zero)

@@ -45,11 +45,11 @@ def share_by_group(df: DataFrame, group: str | Sequence[str], value: str) -> Dat
     """
     keys = as_list(group)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    same = reduce(lambda a, b: a & b, [counts[k].eqNullSafe(totals[k]) for k in keys])
-    return counts.join(totals, same).select(
-        *[counts[k] for k in keys], value, "n", (F.col("n") / F.col("_total") * 100).alias("percent")
-    )
+    names = {k: f"_g{i}" for i, k in enumerate(keys)}
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total")).withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(g)) for k, g in names.items()])
+    percent = (F.col("n") / F.col("_total") * 100).alias("percent")
+    return counts.join(totals, same).select(*keys, value, "n", percent)
 
 
 def value_counts(df: DataFrame, *cols: str, order: str | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cohortline.functions import flag, keep_listed, month_end
 from cohortline.operators.attrition import attrition_attach, attrition_events, attrition_unique
 from cohortline.operators.dedupe import dedupe_first
-from cohortline.operators.history import first_after, retention_at, term_metrics
+from cohortline.operators.asof import asof_forward_first
+from cohortline.operators.history import retention_at, term_metrics
 from cohortline.operators.stages import with_stage
 from cohortline.plans.leads import program_groups
 
@@ -77,15 +78,17 @@ def build_degree_start(
 def build_degree_success(student_month: DataFrame, student_drop: DataFrame, term_progress: DataFrame, since: date, level: str = "UG") -> DataFrame:
     """One row per student: graduation, first drop, retention and per-term figures."""
     keys = ["student_key", "student_id"]
-    students = dedupe_first(
-        student_month.where((F.col("level") == level) & (F.col("faa_date") >= F.lit(since)) & (F.col("new_start") == 1)).select(
-            *keys, "faa_date", F.col("college").alias("college_faa"), F.col("level").alias("level_faa"), F.col("program").alias("program_faa")
-        ),
-        keys,
-        "faa_date",
-        ["college_faa", "program_faa"],
+    started = student_month.where((F.col("level") == level) & (F.col("faa_date") >= F.lit(since)) & (F.col("new_start") == 1)).select(
+        *keys, "faa_date", F.col("college").alias("college_faa"), F.col("level").alias("level_faa"), F.col("program").alias("program_faa")
     )
+    # the first start is also the smallest anchor, so lookups begin at these narrow rows
+    anchors = started.select(*keys, "faa_date")
+    out = dedupe_first(started, keys, "faa_date", ["college_faa", "program_faa"]).withColumn("faa_month", F.trunc("faa_date", "month").cast("date"))
+
     grads = student_month.where(F.col("grad") == 1).select(*keys, F.col("month_end").alias("grad_date"))
+    out = with_stage(out, asof_forward_first(anchors, grads, keys, "faa_date", "grad_date", strict=True), keys, "grad_flag")
+
+    kinds = ["drop_t1_flag", "drop_t2_flag"]
     drops = student_drop.select(
         *keys,
         F.col("month_end").alias("drop_date"),
@@ -94,15 +97,9 @@ def build_degree_success(student_month: DataFrame, student_drop: DataFrame, term
         flag(F.col("term_seq") == 1).alias("drop_t1_flag"),
         flag(F.col("term_seq") == 2).alias("drop_t2_flag"),
     )
-    # every lookup starts from the narrow key and date, and is attached once
-    anchors = students.select(*keys, "faa_date")
-    out = students.withColumn("faa_month", F.trunc("faa_date", "month"))
-    out = with_stage(out, first_after(anchors, grads, keys, "faa_date", "grad_date", "grad_flag").where("grad_flag = 1").drop("faa_date", "grad_flag"), keys, "grad_flag")
-    kinds = ["drop_t1_flag", "drop_t2_flag"]
-    found = first_after(anchors, drops, keys, "faa_date", "drop_date", "drop_flag", tie=["drop_type", "drop_sub_type", *kinds])
-    out = with_stage(out, found.where("drop_flag = 1").drop("faa_date", "drop_flag"), keys, "drop_flag", kinds)
-    retained = retention_at(anchors, student_month, keys, "faa_date", "month_end", {"ret7": "r7", "ret13": "r13"})
-    out = with_stage(out, retained.drop("faa_date"), keys)
+    dropped = asof_forward_first(anchors, drops, keys, "faa_date", "drop_date", strict=True, tie=["drop_type", "drop_sub_type", *kinds])
+    out = with_stage(out, dropped, keys, "drop_flag", kinds)
+    out = retention_at(out, student_month, keys, "faa_date", "month_end", {"ret7": "r7", "ret13": "r13"}, anchors=anchors)
 
     in_term = student_month.where(F.col("term_seq").isin(1, 2) & (F.col("faa_date") >= F.lit(since))).select("student_id", "term_seq").distinct()
     progress = term_progress.join(in_term, ["student_id", "term_seq"], "left_semi")

@@ -15,7 +15,7 @@ from cohortline.functions import bin_days, crosswalk, days_between, local_date
 from cohortline.operators.asof import asof_forward_first
 from cohortline.operators.history import status_asof_flag
 from cohortline.operators.rates import any_prefix_flag
-from cohortline.operators.skew import left_fan_out
+from cohortline.operators.skew import left_fan_out, salted_join
 from cohortline.operators.stages import coalesce_segment, direct_vs_via, with_stage
 from cohortline.plans.onramp import SCHOOL
 
@@ -103,8 +103,6 @@ def build_cohort_account(
 
 def _since(events: DataFrame, opened: DataFrame, on: str, ts: str, anchor: str, heavy: Sequence[int]) -> DataFrame:
     """Rows of a stage dated on/after the account of the same lead."""
-    from cohortline.operators.skew import salted_join
-
     return salted_join(events, opened, on, "inner", heavy, [ts]).where(F.col(ts) >= F.col(anchor)).drop(anchor)
 
 

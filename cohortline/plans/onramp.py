@@ -131,10 +131,7 @@ def build_inquiry(
     first_app = dedupe_first(applications(status_feed), "lead_id", "app_ts", ["college", "level", "program"]).select(
         "lead_id", "app_date", F.col("college").alias("app_college"), F.col("level").alias("app_level"), "path"
     )
-    people = fill_missing(
-        enrich_demographics(first_app, lead_demographics, "app_date").drop("birth_date", "non_term"),
-        [],
-    )
+    people = enrich_demographics(first_app, lead_demographics, "app_date").drop("birth_date", "non_term")
     shown = ["path", "age_days", "age_years", "gender", "ethnicity", "minority_group", "income", "income_level", "marital_status", "region", "first_time_group", "dma", "state"]
     known = fill_missing(with_stage(with_product, people, "lead_id"), shown)
 
