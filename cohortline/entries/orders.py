@@ -456,8 +456,8 @@ ENTRIES = {
     "retention_avg": (
         retention_per_month,
         f"""{RETENTION_SQL},
-        m7 AS (SELECT last_day(r7_date) AS month, round(avg(r7), 2) AS r7, count(*) AS n_r7 FROM ret WHERE r7_date IS NOT NULL GROUP BY 1),
-        m13 AS (SELECT last_day(r13_date) AS month, round(avg(r13), 2) AS r13, count(*) AS n_r13 FROM ret WHERE r13_date IS NOT NULL GROUP BY 1)
+        m7 AS (SELECT last_day(r7_date) AS month, CAST(round(CAST(avg(r7) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS r7, count(*) AS n_r7 FROM ret WHERE r7_date IS NOT NULL GROUP BY 1),
+        m13 AS (SELECT last_day(r13_date) AS month, CAST(round(CAST(avg(r13) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS r13, count(*) AS n_r13 FROM ret WHERE r13_date IS NOT NULL GROUP BY 1)
         SELECT m7.month, r7, n_r7, r13, n_r13 FROM m7 LEFT JOIN m13 ON m13.month = m7.month""",
     ),
     "term_metrics": (

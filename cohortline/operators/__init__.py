@@ -39,7 +39,7 @@ from cohortline.operators.rates import (
     share_by_group,
     value_counts,
 )
-from cohortline.operators.skew import heavy_keys, left_fan_out, salted_join
+from cohortline.operators.skew import heavy_keys, left_fan_out, salted_join, small_side
 from cohortline.operators.stages import (
     coalesce_segment,
     cohort_funnel,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.operators.dedupe import dedupe_first, dedupe_last
+from cohortline.operators.skew import small_side
 
 # The status of a reversed start, the statuses that do not settle a
 # student's week 8, and the last week that counts.
@@ -40,7 +41,7 @@ def attrition_events(fact: DataFrame, reversed_starts: DataFrame, starts: DataFr
     week = calendar.where((F.col("wk") == LAST_WEEK) & (F.col("wk_end") <= F.lit(as_of))).select("term_start", "wk_end", "wk").distinct()
     extra = (
         reversals.join(leads, term, "left")
-        .join(week, "term_start")
+        .join(small_side(week), "term_start")
         .withColumn("status", F.lit(REVERSED))
         .withColumn("flag", F.col("reverse_start"))
     )

@@ -80,3 +80,13 @@ def left_fan_out(one: DataFrame, many: DataFrame, on: str | Sequence[str], heavy
     matched = salted_join(many, one, keys, "inner", heavy, spread)
     alone = one.join(many.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark a lookup for broadcast after checking that it is small; otherwise leave it.
+
+    Counts at most ``max_rows + 1`` rows.  Meant for tables with few distinct keys
+    (programs, rules, calendars), where shuffling the large side would pile it up on
+    those keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.operators.dedupe import dedupe_first, dedupe_last
-from cohortline.operators.skew import as_list, salted_join
+from cohortline.operators.skew import as_list, salted_join, small_side
 
 
 def one_space(c: str | Column) -> Column:
@@ -50,7 +50,7 @@ def pivot_answers(
     return df.groupBy(*as_list(keys)).agg(*cells, *extra)
 
 
-def attach_responses(answers: DataFrame, apps: DataFrame, person: str, question: str, when: str, app_order: str, app_tie: str, tie: Sequence[str] = ()) -> DataFrame:
+def attach_responses(answers: DataFrame, apps: DataFrame, person: str, question: str, when: str, app_order: str, app_tie: str | Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """Latest answer per person and question, with the person's latest application.
 
     Both sides are cut to one row per key before the join, which gives the same row as
@@ -73,9 +73,11 @@ def widen_rules(rules: DataFrame, keys: Sequence[str], seq: str, value: str, wid
 def apply_rules(df: DataFrame, wide_rules: DataFrame, keys: Sequence[str], heavy: Sequence[int] = ()) -> DataFrame:
     """Left join on every key; rows without a rule keep NULL results.
 
-    Rules are not hinted: their measured size decides whether they are broadcast.  Few
-    rule keys over many rows means heavy keys, hence the optional salting.
+    Few rule keys over many rows means heavy keys: a small rule table is broadcast once
+    counted, a large one is joined with salting where ``heavy`` keys are given.
     """
+    if not heavy:
+        return df.join(small_side(wide_rules), list(keys), "left")
     return salted_join(df, wide_rules, keys, "left", heavy, [c for c in df.columns if c not in keys][:4])
 
 
@@ -86,7 +88,7 @@ def duplicate_rules(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def unmatched(df: DataFrame, wide_rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows no rule covers."""
-    return df.join(wide_rules.select(*keys).distinct(), list(keys), "left_anti")
+    return df.join(small_side(wide_rules.select(*keys).distinct()), list(keys), "left_anti")
 
 
 def rule_coverage(df: DataFrame, wide_rules: DataFrame, keys: Sequence[str]) -> DataFrame:

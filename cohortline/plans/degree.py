@@ -49,6 +49,12 @@ def new_starts(new_start: DataFrame, opportunity: DataFrame, student_demographic
     )
 
 
+def start_ids(new_start: DataFrame, opportunity: DataFrame, since: date) -> DataFrame:
+    """Lead, student key and day of the degree starts: all that finding attrition rows needs."""
+    starts = new_start.where(F.col("closed_ts") >= F.lit(since)).select("lead_id", F.to_date("closed_ts").alias("start_date"))
+    return starts.join(opportunity.select("lead_id", F.col("student_key").try_cast("bigint").alias("student_key")), "lead_id")
+
+
 def build_attrition(attrition_45d: DataFrame, student_month: DataFrame, starts: DataFrame, term_week: DataFrame, since: date, as_of: date) -> DataFrame:
     """Weekly early-attrition rows of all students, reversed starts included."""
     return attrition_events(attrition_45d, student_month, starts, term_week, since, as_of)
@@ -67,11 +73,7 @@ def build_degree_start(
 ) -> DataFrame:
     """One row per degree start with its early-attrition flag."""
     starts = new_starts(new_start, opportunity, student_demographics, program_grouping, since)
-    # only ids and dates of the starts are needed to find their attrition rows
-    ids = new_start.where(F.col("closed_ts") >= F.lit(since)).select("lead_id", F.to_date("closed_ts").alias("start_date")).join(
-        opportunity.select("lead_id", F.col("student_key").try_cast("bigint").alias("student_key")), "lead_id"
-    )
-    events = build_attrition(attrition_45d, student_month, ids, term_week, since, as_of)
+    events = build_attrition(attrition_45d, student_month, start_ids(new_start, opportunity, since), term_week, since, as_of)
     return attrition_attach(starts, attrition_unique(events))
 
 

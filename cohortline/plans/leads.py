@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortline.functions import blank_to_null, month_end, normalize_text, week_ending
 from cohortline.operators.audit import screen_test_records
 from cohortline.operators.dedupe import dedupe_first, dedupe_last, latest_snapshot
+from cohortline.operators.skew import small_side
 from cohortline.operators.demographics import enrich_demographics
 
 # Status codes of a created account, labels of the two application paths,
@@ -25,9 +26,9 @@ def path_label(guided: str = "guided") -> Column:
 
 
 def program_groups(program_grouping: DataFrame) -> DataFrame:
-    """Program to group in the newest report, one row per program."""
+    """Program to group in the newest report, one row per program; a checked small lookup."""
     newest = latest_snapshot(program_grouping, "report_date", ["program", "program_group"])
-    return dedupe_first(newest, "program", "program_group")
+    return small_side(dedupe_first(newest, "program", "program_group"))
 
 
 def crm_lead(opportunity: DataFrame, contact: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ frame once, so the plan grows with the number of stages and no wide row is repea
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +54,19 @@ def build_cohort_account(
     zone: str = "America/Denver",
     heavy: Sequence[int] = (),
     heavy_students: Sequence[int] = (),
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """Accounts followed through application, recommendation, on-ramp, degree and success.
 
     A lead with several applications since its account has one row for each; check with
     ``audit_unique``.  ``heavy`` lists heavy lead ids, ``heavy_students`` heavy student
-    keys (NULL counts as one), both from ``heavy_keys``.
+    keys (NULL counts as one), both from ``heavy_keys``.  ``keep`` may write the narrow
+    application and recommendation frames, which several lookups start from.
     """
     lead = "lead_id"
     opened = account.select(lead, "account_date")
-    applied = _since(app.select(lead, "app_flag", "app_date", "app_ts"), opened, lead, "app_date", "account_date", heavy)
-    advised = _since(recommend.select(lead, *RECOMMEND), opened, lead, "rec_date", "account_date", heavy)
+    applied = keep(_since(app.select(lead, "app_flag", "app_date", "app_ts"), opened, lead, "app_date", "account_date", heavy), "applied")
+    advised = keep(_since(recommend.select(lead, *RECOMMEND), opened, lead, "rec_date", "account_date", heavy), "advised")
 
     out = left_fan_out(account, applied, lead, heavy, ["app_ts"])
     out = with_stage(out, advised, lead, heavy=heavy)

@@ -24,7 +24,7 @@ def build_background_long(survey_answer: DataFrame, app: DataFrame, school: str,
     answers = earliest_answers(rows, "person_id", "question", "created_ts", "answer").select(
         "person_id", "question", answer_is_yes("answer").alias("answer_code"), "created_ts"
     )
-    first_app = dedupe_first(app, "person_id", "app_date", ["app_ts", "lead_id"]).select(
+    first_app = dedupe_first(app, "person_id", "app_date", ["app_ts", "lead_id", "program", "college", "path"]).select(
         "person_id", "lead_id", "college", "level", "program", "path", "app_date"
     )
     return normalize_labels(answers, "question", V.background_questions(school), "question_id").join(first_app, "person_id")
@@ -82,7 +82,7 @@ def build_skill_conf(survey_answer: DataFrame, app: DataFrame, rules: DataFrame,
     apps = app.where(F.col("app_date") >= F.lit(since)).select(
         "person_id", "lead_id", "app_date", "app_ts", "college", F.trim("program").alias("program"), "path"
     )
-    rows = attach_responses(answers, apps, "person_id", "question_code", "created_ts", "app_date", ["app_ts", "lead_id"], ["answer_code"])
+    rows = attach_responses(answers, apps, "person_id", "question_code", "created_ts", "app_date", ["app_ts", "lead_id", "program", "college", "path"], ["answer_code"])
     statements = list(V.SKILL_STATEMENTS.values())
     wide = pivot_answers(
         rows,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # forceOptimizeSkewedJoin lets adaptive execution split a skewed join input even when
 # the operator above it then needs one more exchange.  Most joins here feed a
@@ -24,18 +26,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared checkpoint folder named by the cluster; ``fallback`` only if unset."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, if any."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", fallback)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
-def cut_lineage(df, fallback: str | None = None):
-    """Materialise a frame in the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession, fallback)
-    return df.checkpoint()
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several later steps read, and read it back.
+
+    A written table survives the loss of executors, cuts the plan, and still lets each
+    reader take only its columns and rows.  Without a shared folder the frame stays
+    lazy, which costs time but changes nothing else.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
