@@ -1,7 +1,7 @@
 """Readers and writers."""
 
 from cohortline.sources.readers import read_path, read_rules_csv, read_table, table_from
-from cohortline.sources.schemas import INPUTS, schema_of
+from cohortline.sources.schemas import INPUTS, TABLES, schema_of
 from cohortline.sources.sinks import overwrite_partitioned, overwrite_table
 
-__all__ = ["INPUTS", "overwrite_partitioned", "overwrite_table", "read_path", "read_rules_csv", "read_table", "schema_of", "table_from"]
+__all__ = ["INPUTS", "TABLES", "overwrite_partitioned", "overwrite_table", "read_path", "read_rules_csv", "read_table", "schema_of", "table_from"]

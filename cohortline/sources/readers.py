@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from cohortline.sources.schemas import schema_of
+
 RULES_SCHEMA = T.StructType(
     [
         T.StructField("program", T.StringType()),
@@ -33,4 +35,4 @@ def read_rules_csv(spark: SparkSession, path: str, schema: T.StructType = RULES_
 
 def table_from(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``<folder>/<name>.parquet``."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(schema_of(name)).parquet(f"{folder.rstrip('/')}/{name}.parquet")
