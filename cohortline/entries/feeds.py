@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortline import plans
 from cohortline.operators.audit import audit_unique
 from cohortline.operators.matching import event_kinds
-from cohortline.operators.skew import heavy_keys
+from cohortline.operators.skew import heavy_by_key, merge_heavy
 from cohortline.operators.survey import rule_coverage, widen_rules
 from cohortline.plans import reports as R
 from cohortline.plans.degree import start_ids
@@ -194,16 +194,19 @@ def skills(i):
 
 
 def recommend(i):
-    return plans.build_recommend(i.recommend_feed, i.opportunity, i.counselor_history)
+    return plans.build_recommend(i.recommend_feed, i.opportunity, i.counselor_history, heavy_by_key(i.counselor_history, "lead_id"))
 
 
 def onramp(i):
-    return plans.build_onramp(*i.take("onramp_student", "onramp_contact", "id_match"), tag=TAG, heavy=heavy_keys(i.onramp_student, "person_id"))
+    return plans.build_onramp(*i.take("onramp_student", "onramp_contact", "id_match"), tag=TAG, heavy=heavy_by_key(i.onramp_student, "person_id", "contact_id"))
 
 
 def inquiry(i):
     names = ["onramp_contact", "id_match", "course_enrollment", "course_completion", "status_feed", "lead_demographics", "student_month"]
-    return plans.build_inquiry(*i.take(*names), tag=TAG, since=SINCE, orientation="Welcome", start_year=1998)
+    heavy = merge_heavy(
+        heavy_by_key(i.id_match, "lead_id", "student_key"), heavy_by_key(i.onramp_contact, "person_id"), heavy_by_key(i.student_month, "student_key")
+    )
+    return plans.build_inquiry(*i.take(*names), tag=TAG, since=SINCE, orientation="Welcome", start_year=1998, heavy=heavy)
 
 
 def degree_start(i):
@@ -212,7 +215,8 @@ def degree_start(i):
 
 
 def degree_success(i):
-    return plans.build_degree_success(*i.take("student_month", "student_drop", "term_progress"), since=SINCE)
+    heavy = heavy_by_key(i.student_month, ("student_key", "student_id"))
+    return plans.build_degree_success(*i.take("student_month", "student_drop", "term_progress"), since=SINCE, heavy=heavy)
 
 
 def cohort_account(i):
@@ -227,14 +231,13 @@ def cohort_account(i):
         i.stage(degree_success),
         i.transcript_summary,
         ZONE,
-        heavy=heavy_keys(i.stage(app), "lead_id"),
-        heavy_students=heavy_keys(i.stage(account), "student_key"),
+        heavy=merge_heavy(heavy_by_key(i.stage(app), "lead_id"), heavy_by_key(i.stage(account), "student_key")),
         keep=keep,
     )
 
 
 def cohort_inquiry(i):
-    return plans.build_cohort_inquiry(i.stage(inquiry), i.stage(recommend), i.stage(degree_start), heavy_keys(i.stage(inquiry), "lead_id"))
+    return plans.build_cohort_inquiry(i.stage(inquiry), i.stage(recommend), i.stage(degree_start), heavy_by_key(i.stage(inquiry), "lead_id"))
 
 
 def demo_sql(source: str, day: str) -> str:

@@ -14,16 +14,31 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.dedupe import dedupe_first, dedupe_last
 from cohortline.operators.skew import as_list, salted_join
 
 
-def _pairs(base, events, on, anchor, ts, pick, test, heavy, tie):
+def _qualifying(base, events, on, anchor, ts, pick, test, heavy, tie):
+    """Events that pass the test against their key's smallest or largest anchor."""
     anchors = base.where(F.col(anchor).isNotNull()).groupBy(*on).agg(pick(anchor).alias("_anchor"))
     joined = salted_join(events, anchors, on, "inner", heavy, [ts, *tie])
     return joined.where(test(F.col(ts), F.col("_anchor"))).drop("_anchor")
 
 
+def _best(rows, events, on, ts, tie, pick, nulls_last):
+    """The first or last row per key, as the extreme of one struct.
+
+    A sort-merge join hands its rows over ordered by key, so this aggregates as they
+    stream by; ranking them would sort every pair once more.  Columns after the ties
+    only settle which of several equal rows is shown.
+    """
+    rest = [c for c in events.columns if c not in (*on, ts, *tie)]
+    order = [F.col(ts)]
+    for c in tie:
+        order += [F.col(c).isNull().alias(f"_n_{c}"), F.col(c)] if nulls_last else [F.col(c)]
+    best = rows.groupBy(*on).agg(pick(F.struct(*order, *rest)).alias("_b"))
+    return best.select(*[c if c in on else F.col("_b")[c].alias(c) for c in events.columns])
+
+
 def asof_forward_first(
     base: DataFrame,
     events: DataFrame,
@@ -41,10 +56,10 @@ def asof_forward_first(
     """
     on, tie = as_list(on), as_list(tie)
     test = (lambda t, a: t > a) if strict else (lambda t, a: t >= a)
-    rows = _pairs(base, events, on, anchor, ts, F.min, test, heavy, tie)
+    rows = _qualifying(base, events, on, anchor, ts, F.min, test, heavy, tie)
     if set(events.columns) == {*on, ts}:
         return rows.groupBy(*on).agg(F.min(ts).alias(ts))
-    return dedupe_first(rows, on, ts, tie)
+    return _best(rows, events, on, ts, tie, F.min, nulls_last=True)
 
 
 def asof_backward_last(
@@ -64,11 +79,11 @@ def asof_backward_last(
     """
     on, tie = as_list(on), as_list(tie)
     test = (lambda t, a: t < a) if strict else (lambda t, a: t <= a)
-    rows = _pairs(base, events, on, anchor, ts, F.max, test, heavy, tie)
+    rows = _qualifying(base, events, on, anchor, ts, F.max, test, heavy, tie)
     if set(events.columns) == {*on, ts}:
         found = rows.groupBy(*on).agg(F.max(ts).alias(ts))
     else:
-        found = dedupe_last(rows, on, ts, tie)
+        found = _best(rows, events, on, ts, tie, F.max, nulls_last=False)
     if how == "left":
         return base.select(*on).distinct().join(found, on, "left")
     return found

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.operators.dedupe import dedupe_first, dedupe_last
-from cohortline.operators.skew import small_side
+from cohortline.operators.skew import salted_join, small_side
 
 # The status of a reversed start, the statuses that do not settle a
 # student's week 8, and the last week that counts.
@@ -54,7 +55,7 @@ def attrition_unique(events: DataFrame) -> DataFrame:
     return dedupe_last(flagged, ["lead_id", "student_key", "term_start"], "wk_end", ["wk", "status"])
 
 
-def attrition_attach(starts: DataFrame, unique: DataFrame) -> DataFrame:
+def attrition_attach(starts: DataFrame, unique: DataFrame, heavy: Sequence[int] = ()) -> DataFrame:
     """Flag and status for degree starts whose lead and first day match a flagged term.
 
     Reduced to one row per lead and term first, so that starts are never multiplied.
@@ -62,4 +63,4 @@ def attrition_attach(starts: DataFrame, unique: DataFrame) -> DataFrame:
     one = dedupe_last(unique, ["lead_id", "term_start"], "wk_end", "student_key").select(
         "lead_id", F.col("term_start").alias("start_date"), F.col("flag").alias("attrition_flag"), F.col("status").alias("attrition_status")
     )
-    return starts.join(one, ["lead_id", "start_date"], "left")
+    return salted_join(starts, one, ["lead_id", "start_date"], "left", heavy)

@@ -68,7 +68,7 @@ def retention_at(
     for metric, name in metrics.items():
         known = snaps.where(F.col(metric).isNotNull()).select(*keys, ts, F.col(metric).cast("int").alias(metric))
         first = asof_forward_first(base if anchors is None else anchors, known, keys, anchor, ts, strict=True, tie=metric, heavy=heavy)
-        out = with_stage(out, first.withColumnRenamed(ts, f"{name}_date"), keys)
+        out = with_stage(out, first.withColumnRenamed(ts, f"{name}_date"), keys, heavy=heavy)
     return out
 
 

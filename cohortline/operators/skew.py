@@ -9,7 +9,7 @@ results are the same whatever it contains.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +22,34 @@ def as_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def heavy_keys(df: DataFrame, on: str | Sequence[str], share: float = SHARE, floor: int = FLOOR) -> list[int]:
-    """Hashes of the keys holding more than ``share`` of the rows and at least ``floor`` rows.
+def heavy_by_key(df: DataFrame, *keys: str | Sequence[str], share: float = SHARE, floor: int = FLOOR) -> dict[str, list[int]]:
+    """Hashes of the values holding more than ``share`` of the rows and at least ``floor`` rows, per key.
 
-    At most ``1 / share`` values come back, NULL keys included as a key of their own.
-    Runs one narrow job; call it once per source and hand the list to every join on
-    the same key.
+    One narrow job for all keys.  At most ``1 / share`` values come back for each; NULL
+    counts as a value.  The result is indexed by key, composite ones joined by commas.
     """
     limit = int(1 / share)
-    tracked = limit * 50
-    row = df.select(F.xxhash64(*as_list(on)).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"approx_top_k(h, {limit}, {tracked})").alias("top"),
-    ).first()
+    hashes = df.select(*[F.xxhash64(*as_list(k)).alias(f"h{i}") for i, k in enumerate(keys)])
+    tops = [F.expr(f"approx_top_k(h{i}, {limit}, {limit * 50})").alias(f"top{i}") for i in range(len(keys))]
+    row = hashes.agg(F.count(F.lit(1)).alias("n"), *tops).first()
     cut = max(floor, share * row["n"])
-    return [item["item"] for item in row["top"] or [] if item["count"] >= cut]
+    return {
+        ",".join(as_list(k)): [item["item"] for item in row[f"top{i}"] or [] if item["count"] >= cut] for i, k in enumerate(keys)
+    }
+
+
+def heavy_keys(df: DataFrame, on: str | Sequence[str], share: float = SHARE, floor: int = FLOOR) -> list[int]:
+    """The same for one key.  Call it once per source and hand the list to every join on that key."""
+    return heavy_by_key(df, on, share=share, floor=floor)[",".join(as_list(on))]
+
+
+def merge_heavy(*found: Mapping[str, Sequence[int]]) -> dict[str, list[int]]:
+    """Heavy keys of several sources together."""
+    out: dict[str, list[int]] = {}
+    for one in found:
+        for key, hashes in one.items():
+            out[key] = sorted({*out.get(key, []), *hashes})
+    return out
 
 
 def salted_join(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from datetime import date
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,16 +72,31 @@ def build_degree_start(
     term_week: DataFrame,
     since: date,
     as_of: date,
+    heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
 ) -> DataFrame:
-    """One row per degree start with its early-attrition flag."""
+    """One row per degree start with its early-attrition flag.
+
+    ``heavy`` may name heavy pairs of lead_id and start_date.
+    """
     starts = new_starts(new_start, opportunity, student_demographics, program_grouping, since)
     events = build_attrition(attrition_45d, student_month, start_ids(new_start, opportunity, since), term_week, since, as_of)
-    return attrition_attach(starts, attrition_unique(events))
+    return attrition_attach(starts, attrition_unique(events), heavy.get("lead_id,start_date", ()))
+
 
+def build_degree_success(
+    student_month: DataFrame,
+    student_drop: DataFrame,
+    term_progress: DataFrame,
+    since: date,
+    level: str = "UG",
+    heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
+) -> DataFrame:
+    """One row per student: graduation, first drop, retention and per-term figures.
 
-def build_degree_success(student_month: DataFrame, student_drop: DataFrame, term_progress: DataFrame, since: date, level: str = "UG") -> DataFrame:
-    """One row per student: graduation, first drop, retention and per-term figures."""
+    ``heavy`` may name heavy pairs of student_key and student_id.
+    """
     keys = ["student_key", "student_id"]
+    hot = heavy.get(",".join(keys), ())
     started = student_month.where((F.col("level") == level) & (F.col("faa_date") >= F.lit(since)) & (F.col("new_start") == 1)).select(
         *keys, "faa_date", F.col("college").alias("college_faa"), F.col("level").alias("level_faa"), F.col("program").alias("program_faa")
     )
@@ -88,7 +105,7 @@ def build_degree_success(student_month: DataFrame, student_drop: DataFrame, term
     out = dedupe_first(started, keys, "faa_date", ["college_faa", "program_faa"]).withColumn("faa_month", F.trunc("faa_date", "month").cast("date"))
 
     grads = student_month.where(F.col("grad") == 1).select(*keys, F.col("month_end").alias("grad_date"))
-    out = with_stage(out, asof_forward_first(anchors, grads, keys, "faa_date", "grad_date", strict=True), keys, "grad_flag")
+    out = with_stage(out, asof_forward_first(anchors, grads, keys, "faa_date", "grad_date", strict=True, heavy=hot), keys, "grad_flag")
 
     kinds = ["drop_t1_flag", "drop_t2_flag"]
     drops = student_drop.select(
@@ -99,12 +116,14 @@ def build_degree_success(student_month: DataFrame, student_drop: DataFrame, term
         flag(F.col("term_seq") == 1).alias("drop_t1_flag"),
         flag(F.col("term_seq") == 2).alias("drop_t2_flag"),
     )
-    dropped = asof_forward_first(anchors, drops, keys, "faa_date", "drop_date", strict=True, tie=["drop_type", "drop_sub_type", *kinds])
+    dropped = asof_forward_first(anchors, drops, keys, "faa_date", "drop_date", strict=True, tie=["drop_type", "drop_sub_type", *kinds], heavy=hot)
     out = with_stage(out, dropped, keys, "drop_flag", kinds)
-    out = retention_at(out, student_month, keys, "faa_date", "month_end", {"ret7": "r7", "ret13": "r13"}, anchors=anchors)
+    out = retention_at(out, student_month, keys, "faa_date", "month_end", {"ret7": "r7", "ret13": "r13"}, anchors=anchors, heavy=hot)
 
     in_term = student_month.where(F.col("term_seq").isin(1, 2) & (F.col("faa_date") >= F.lit(since))).select("student_id", "term_seq").distinct()
-    progress = term_progress.join(in_term, ["student_id", "term_seq"], "left_semi")
+    # one row per student and term first, so that the semi join meets no long runs of one key
+    best = term_progress.groupBy("student_id", "term_seq").agg(F.max("limited_progress").alias("limited_progress"), F.max("earned_cus").alias("earned_cus"))
+    progress = best.join(in_term, ["student_id", "term_seq"], "left_semi")
     units = term_metrics(progress, "student_id", "term_seq", {"limited_progress": "limit_prog_t{t}", "earned_cus": "earned_cus_t{t}"})
     out = with_stage(out, units.withColumns({f"earned_cus_t{t}": F.col(f"earned_cus_t{t}").cast("int") for t in (1, 2)}), "student_id")
     otp = student_month.where((F.col("faa_date") >= F.lit(since)) & (F.col("faa_date") < F.col("month_end")))

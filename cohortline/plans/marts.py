@@ -6,7 +6,8 @@ frame once, so the plan grows with the number of stages and no wide row is repea
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,18 +53,18 @@ def build_cohort_account(
     degree_success: DataFrame,
     transcript_summary: DataFrame | None = None,
     zone: str = "America/Denver",
-    heavy: Sequence[int] = (),
-    heavy_students: Sequence[int] = (),
+    heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """Accounts followed through application, recommendation, on-ramp, degree and success.
 
     A lead with several applications since its account has one row for each; check with
-    ``audit_unique``.  ``heavy`` lists heavy lead ids, ``heavy_students`` heavy student
-    keys (NULL counts as one), both from ``heavy_keys``.  ``keep`` may write the narrow
+    ``audit_unique``.  ``heavy`` may name heavy values of lead_id and student_key (NULL
+    counts as one), as ``heavy_by_key`` finds them.  ``keep`` may write the narrow
     application and recommendation frames, which several lookups start from.
     """
-    lead = "lead_id"
+    lead, by_student_key = "lead_id", heavy.get("student_key", ())
+    heavy = heavy.get(lead, ())
     opened = account.select(lead, "account_date")
     applied = keep(_since(app.select(lead, "app_flag", "app_date", "app_ts"), opened, lead, "app_date", "account_date", heavy), "applied")
     advised = keep(_since(recommend.select(lead, *RECOMMEND), opened, lead, "rec_date", "account_date", heavy), "advised")
@@ -97,9 +98,9 @@ def build_cohort_account(
     student = "student_key"
     by_student = account.where(F.col(student).isNotNull()).select(lead, student).join(applied.select(lead, "app_date"), lead)
     success = asof_forward_first(
-        by_student, degree_success.select(student, "student_id", *SUCCESS), student, "app_date", "faa_date", tie="student_id", heavy=heavy_students
+        by_student, degree_success.select(student, "student_id", *SUCCESS), student, "app_date", "faa_date", tie="student_id", heavy=by_student_key
     ).drop("student_id")
-    out = with_stage(out, success, student, heavy=heavy_students)
+    out = with_stage(out, success, student, heavy=by_student_key)
     return with_durations(out)
 
 
@@ -127,9 +128,12 @@ def with_durations(df: DataFrame) -> DataFrame:
     return df.withColumns(days).withColumns(bins)
 
 
-def build_cohort_inquiry(inquiry: DataFrame, recommend: DataFrame, degree_start: DataFrame | None = None, heavy: Sequence[int] = ()) -> DataFrame:
+def build_cohort_inquiry(
+    inquiry: DataFrame, recommend: DataFrame, degree_start: DataFrame | None = None, heavy: Mapping[str, Sequence[int]] = MappingProxyType({})
+) -> DataFrame:
     """Inquiries with their recommendation, the first known school and, on request, degree starts."""
     lead = "lead_id"
+    heavy = heavy.get(lead, ())
     advice = recommend.select(
         lead,
         "rec_flag",

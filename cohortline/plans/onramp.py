@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,25 +48,33 @@ START_LABELS = ["7 or fewer days", "8-14 days", "15-30 days", "31-60 days", "61+
 
 
 def build_onramp(
-    onramp_student: DataFrame, onramp_contact: DataFrame, id_match: DataFrame, tag: str, grain: str = "subscription", heavy: Sequence[int] = ()
+    onramp_student: DataFrame,
+    onramp_contact: DataFrame,
+    id_match: DataFrame,
+    tag: str,
+    grain: str = "subscription",
+    heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
 ) -> DataFrame:
     """On-ramp starts with first completion and drop and the matched lead.
 
     ``tag`` marks contacts of the program.  ``grain='first'`` keeps one start per person
-    and contact instead of one per subscription.  ``heavy`` lists heavy person ids.
+    and contact instead of one per subscription.  ``heavy`` may name heavy values of
+    person_id and contact_id.
     """
     starts, completions, drops = event_kinds(onramp_student)
     if grain == "first":
         starts_out = dedupe_first(starts, ["person_id", "contact_id"], "start_date", "subscription_id")
     else:
         starts_out = starts
-    out = outcomes(starts_out, completions, drops, heavy=heavy)
+    out = outcomes(starts_out, completions, drops, heavy=heavy.get("person_id", ()))
     tagged = onramp_contact.select("contact_id", F.when(F.col("subclass").contains(tag), tag).alias("program_tag"))
-    out = out.join(tagged, "contact_id", "left")
+    by_contact = heavy.get("contact_id", ())
+    out = with_stage(out, tagged, "contact_id", heavy=by_contact)
     matches = id_match.withColumn("student_key", F.col("student_key").try_cast("bigint"))
     return match_ids(
-        out, matches, "contact_id", "best_enroll", ["lead_id", "student_key", "faa_date", "degree_program", "degree_status"], "lead_id", "referral_lead"
-    )
+        out, matches, "contact_id", "best_enroll", ["lead_id", "student_key", "faa_date", "degree_program", "degree_status"], "lead_id", "referral_lead",
+        heavy=by_contact,
+    )
 
 
 def build_inquiry(
@@ -80,8 +89,13 @@ def build_inquiry(
     since: date,
     orientation: str,
     start_year: int,
+    heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
 ) -> DataFrame:
-    """One row per inquiry: matched ids, first product, demographics and funnel flags."""
+    """One row per inquiry: matched ids, first product, demographics and funnel flags.
+
+    ``heavy`` may name heavy values of person_id, lead_id and student_key; NULL is the
+    usual one, for inquiries nothing matches.
+    """
     contacts = screen_test_records(
         onramp_contact.where(F.col("subclass").contains(tag) & (F.col("created_ts") >= F.lit(since))), test_flag="is_test"
     ).select(
@@ -126,14 +140,14 @@ def build_inquiry(
         "completed_course_flag",
         "completed_course_date",
     )
-    with_product = with_stage(matched, product, "person_id")
+    with_product = with_stage(matched, product, "person_id", heavy=heavy.get("person_id", ()))
 
     first_app = dedupe_first(applications(status_feed), "lead_id", "app_ts", ["college", "level", "program"]).select(
         "lead_id", "app_date", F.col("college").alias("app_college"), F.col("level").alias("app_level"), "path"
     )
     people = enrich_demographics(first_app, lead_demographics, "app_date").drop("birth_date", "non_term")
     shown = ["path", "age_days", "age_years", "gender", "ethnicity", "minority_group", "income", "income_level", "marital_status", "region", "first_time_group", "dma", "state"]
-    known = fill_missing(with_stage(with_product, people, "lead_id"), shown)
+    known = fill_missing(with_stage(with_product, people, "lead_id", heavy=heavy.get("lead_id", ())), shown)
 
     first_degree = asof_forward_first(
         known.select("student_key", "received_date"),
@@ -145,8 +159,9 @@ def build_inquiry(
         "degree_start_date",
         strict=True,
         tie="start_school",
+        heavy=heavy.get("student_key", ()),
     )
-    out = with_stage(known, first_degree, "student_key")
+    out = with_stage(known, first_degree, "student_key", heavy=heavy.get("student_key", ()))
     days = days_between("onramp_start_date", "received_date")
     dates = {"started_onramp": "onramp_start_date", "started_degree": "degree_start_date"}
     out = out.withColumns(

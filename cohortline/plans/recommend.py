@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions import blank_to_null, flag, list_items
 from cohortline.operators.asof import asof_backward_last
-from cohortline.operators.stages import composite_label
+from cohortline.operators.stages import composite_label, with_stage
 
 # Statuses of applicants not admitted yet, pathways without a product,
 # pathways that belong to the on-ramp.
@@ -17,8 +20,13 @@ ON_RAMP_PRODUCTS = ["Single Course", "Course Bundle"]
 EARLY_STAGE = "Pre-Transcript"
 
 
-def build_recommend(recommend_feed: DataFrame, opportunity: DataFrame, counselor_history: DataFrame) -> DataFrame:
-    """Recommendation with its products, stage label and the counselor at that time."""
+def build_recommend(
+    recommend_feed: DataFrame, opportunity: DataFrame, counselor_history: DataFrame, heavy: Mapping[str, Sequence[int]] = MappingProxyType({})
+) -> DataFrame:
+    """Recommendation with its products, stage label and the counselor at that time.
+
+    ``heavy`` may name heavy values of lead_id.
+    """
     one, two, three = list_items("products_html", 3)
     lead = opportunity.select(
         "lead_id",
@@ -53,10 +61,10 @@ def build_recommend(recommend_feed: DataFrame, opportunity: DataFrame, counselor
         "rec_date",
         "status_date",
         tie="counselor_at_rec",
+        heavy=heavy.get("lead_id", ()),
     ).drop("status_date")
     return (
-        feed.join(lead, "lead_id", "left")
-        .join(counselor, "lead_id", "left")
+        with_stage(feed.join(lead, "lead_id", "left"), counselor, "lead_id", heavy=heavy.get("lead_id", ()))
         .withColumns(
             {
                 "pre_transcript_flag": flag(F.col("crm_stage").startswith(EARLY_STAGE)),

@@ -409,7 +409,7 @@ def test_cohort_account(spark, crm, feed, contacts, matches, heavy):
     transcript = frame(spark, "student_transcript", dict(lead_id="L1", degree_type=None), dict(lead_id="L1", degree_type="Master's"), dict(lead_id="L2", degree_type="Other"))
     keys = [r[0] for r in spark.sql("select xxhash64(x) from values 'L1', 'L2' t(x)").collect()] if heavy else ()
     nulls = [r[0] for r in spark.sql("select xxhash64(x) from values 11L, cast(null as bigint) t(x)").collect()] if heavy else ()
-    mart = plans.build_cohort_account(account, app, recommend, starts, onramp, transcript, history, success, heavy=keys, heavy_students=nulls)
+    mart = plans.build_cohort_account(account, app, recommend, starts, onramp, transcript, history, success, heavy={"lead_id": keys, "student_key": nulls})
     got = by(mart, "lead_id")
     assert mart.count() == 3 and set(got) == {"L1", "L2", "L4"}
     one, two, four = got["L1"], got["L2"], got["L4"]
