@@ -231,7 +231,7 @@ def cohort_account(i):
         i.stage(degree_success),
         i.transcript_summary,
         ZONE,
-        heavy=merge_heavy(heavy_by_key(i.stage(app), "lead_id"), heavy_by_key(i.stage(account), "student_key")),
+        heavy=merge_heavy(heavy_by_key(i.stage(app), "lead_id"), heavy_by_key(i.stage(degree_success), "student_key")),
         keep=keep,
     )
 

@@ -59,8 +59,8 @@ def build_cohort_account(
     """Accounts followed through application, recommendation, on-ramp, degree and success.
 
     A lead with several applications since its account has one row for each; check with
-    ``audit_unique``.  ``heavy`` may name heavy values of lead_id and student_key (NULL
-    counts as one), as ``heavy_by_key`` finds them.  ``keep`` may write the narrow
+    ``audit_unique``.  ``heavy`` may name heavy values of lead_id and student_key, as
+    ``heavy_by_key`` finds them.  ``keep`` may write the narrow
     application and recommendation frames, which several lookups start from.
     """
     lead, by_student_key = "lead_id", heavy.get("student_key", ())
@@ -95,12 +95,21 @@ def build_cohort_account(
     marked = status_asof_flag(applied, history, lead, "app_date", "status_date", "new_value", STATUS_MARKS, tie=["created_ts", "new_value"], heavy=heavy)
     out = with_stage(out, marked, lead, heavy=heavy)
 
+    # success is found by student and brought back to the lead on narrow rows: the wide
+    # frame stays partitioned by lead and its many NULL student keys are never shuffled
     student = "student_key"
-    by_student = account.where(F.col(student).isNotNull()).select(lead, student).join(applied.select(lead, "app_date"), lead)
+    students = account.where(F.col(student).isNotNull()).select(lead, student)
     success = asof_forward_first(
-        by_student, degree_success.select(student, "student_id", *SUCCESS), student, "app_date", "faa_date", tie="student_id", heavy=by_student_key
+        students.join(applied.select(lead, "app_date"), lead),
+        degree_success.select(student, "student_id", *SUCCESS),
+        student,
+        "app_date",
+        "faa_date",
+        tie="student_id",
+        heavy=by_student_key,
     ).drop("student_id")
-    out = with_stage(out, success, student, heavy=by_student_key)
+    per_lead = salted_join(students, success, student, "inner", by_student_key, [lead]).drop(student)
+    out = with_stage(out, per_lead, lead, heavy=heavy)
     return with_durations(out)
 
 
