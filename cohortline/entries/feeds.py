@@ -123,7 +123,7 @@ INPUTS = {
     "course_completion": """SELECT 'U' || CAST(o_custkey AS STRING) AS person_id, 'K' || CAST(o_orderkey % 5 AS STRING) AS course_id,
         CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END AS completed FROM {orders}""",
     "new_start": f"""SELECT {LEAD} AS lead_id, o_orderdate AS closed_ts, {COLLEGE} AS college, CASE WHEN o_orderkey % 11 > 0 THEN {PROGRAM} END AS program,
-        CASE WHEN o_totalprice > 300000 THEN 'Graduated' WHEN o_totalprice > 100000 THEN 'Never at Academy' END AS academy_stage,
+        CASE WHEN o_totalprice > 300000 THEN 'Graduated' WHEN o_totalprice > 100000 THEN 'Never at Academy' END AS onramp_stage,
         CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'O' THEN 'Mid' END AS income_level, 'R' AS region, 'E' AS ethnicity, 'N' AS minority
         FROM {{orders}} WHERE o_orderpriority = '4-NOT SPECIFIED'""",
     "student_demographics": """SELECT c_custkey AS student_key, 'F' AS gender, c_mktsegment AS employment, 'Some' AS household_income
@@ -151,10 +151,7 @@ INPUTS = {
 
 
 class Inputs:
-    """The derived inputs of one folder, made when asked for.
-
-    ``stage`` gives a stage as a written table, as the marts read them.
-    """
+    """The derived inputs of one folder, made when asked for."""
 
     def __init__(self, spark, folder):
         self.spark = configure(spark)
@@ -169,10 +166,15 @@ class Inputs:
         return [getattr(self, n) for n in names]
 
     def stage(self, build):
+        """A stage as a written table, for several readers."""
         if build not in self.stages:
             self.stages[build] = keep(build(self), build.__name__)
         return self.stages[build]
 
+    def shared(self, build):
+        """The written table where there is one, else the stage itself."""
+        return self.stages[build] if build in self.stages else build(self)
+
 
 CRM = ["status_feed", "opportunity", "contact", "program_grouping", "lead_demographics"]
 
@@ -186,11 +188,11 @@ def app(i):
 
 
 def background(i):
-    return plans.build_background(i.survey_answer, i.stage(app), "ACME", SINCE)
+    return plans.build_background(i.survey_answer, i.shared(app), "ACME", SINCE)
 
 
 def skills(i):
-    return plans.build_skill_conf(i.survey_answer, i.stage(app), i.recommend_rules, SINCE, ZONE)
+    return plans.build_skill_conf(i.survey_answer, i.shared(app), i.recommend_rules, SINCE, ZONE)
 
 
 def recommend(i):
@@ -219,25 +221,31 @@ def degree_success(i):
     return plans.build_degree_success(*i.take("student_month", "student_drop", "term_progress"), since=SINCE, heavy=heavy)
 
 
+def questions(i):
+    i.stage(app)  # both surveys read the applications
+    return with_questions(recommend(i), background(i), skills(i))
+
+
 def cohort_account(i):
+    """Only frames that are read several times are written: the accounts here, two narrow ones in the builder."""
     return plans.build_cohort_account(
         i.stage(account),
-        i.stage(app),
-        i.stage(recommend),
-        i.stage(degree_start),
-        i.stage(onramp),
+        app(i),
+        recommend(i),
+        degree_start(i),
+        onramp(i),
         i.student_transcript,
         i.field_history,
-        i.stage(degree_success),
+        degree_success(i),
         i.transcript_summary,
         ZONE,
-        heavy=merge_heavy(heavy_by_key(i.stage(app), "lead_id"), heavy_by_key(i.stage(degree_success), "student_key")),
+        heavy=merge_heavy(heavy_by_key(i.status_feed, "lead_id"), heavy_by_key(i.student_month, "student_key")),
         keep=keep,
     )
 
 
 def cohort_inquiry(i):
-    return plans.build_cohort_inquiry(i.stage(inquiry), i.stage(recommend), i.stage(degree_start), heavy_by_key(i.stage(inquiry), "lead_id"))
+    return plans.build_cohort_inquiry(i.stage(inquiry), recommend(i), degree_start(i), heavy_by_key(i.id_match, "lead_id"))
 
 
 def demo_sql(source: str, day: str) -> str:
@@ -400,8 +408,8 @@ STAGES = {
         FROM inq1 i LEFT JOIN inq_degree d ON d.student_key = i.student_key""",
     "starts": f"""SELECT n.lead_id, CAST(closed_ts AS DATE) AS start_date, last_day(CAST(closed_ts AS DATE)) AS start_month, n.college,
         CASE WHEN n.program LIKE 'M%' AND n.program <> 'MSITMUG' THEN 'GR' WHEN n.program IS NOT NULL THEN 'UG' END AS level, n.program, n.region, n.ethnicity, n.minority,
-        CASE WHEN n.income_level IN ('High', 'Low') THEN n.income_level ELSE 'Missing' END AS income_level, academy_stage AS onramp_stage,
-        CASE WHEN academy_stage = 'Graduated' THEN 1 ELSE 0 END AS onramp_completed_flag, CASE WHEN academy_stage <> 'Never at Academy' THEN 1 ELSE 0 END AS onramp_attended_flag,
+        CASE WHEN n.income_level IN ('High', 'Low') THEN n.income_level ELSE 'Missing' END AS income_level, onramp_stage,
+        CASE WHEN onramp_stage = 'Graduated' THEN 1 ELSE 0 END AS onramp_completed_flag, CASE WHEN onramp_stage <> 'Never at Academy' THEN 1 ELSE 0 END AS onramp_attended_flag,
         try_cast(o.student_key AS BIGINT) AS student_key, gender, employment, household_income, program_group
         FROM new_start n LEFT JOIN opportunity o ON o.lead_id = n.lead_id LEFT JOIN student_demographics s ON s.student_key = try_cast(o.student_key AS BIGINT)
         LEFT JOIN groups g ON g.program = n.program WHERE closed_ts >= DATE '1996-01-01'""",
@@ -529,7 +537,7 @@ BUILDERS = {
     "stage_background": (background, "background"),
     "stage_skill_conf": (skills, "skills"),
     "stage_recommend": (recommend, "recommend"),
-    "stage_questions": (lambda i: with_questions(recommend(i), background(i), skills(i)), "questions"),
+    "stage_questions": (questions, "questions"),
     "stage_onramp": (onramp, "onramp"),
     "stage_inquiry": (inquiry, "inquiry"),
     "stage_degree_start": (degree_start, "degree_start"),

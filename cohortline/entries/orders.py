@@ -49,6 +49,7 @@ from cohortline.operators import (
     retention_at,
     retention_avg,
     running_units,
+    salted_join,
     status_asof_flag,
     term_metrics,
 )
@@ -103,7 +104,8 @@ def binned(edges, labels, negative=None):
 def reconciled(percent, as_of=None):
     def run(spark, folder):
         every = orders(spark, folder)
-        shipped = every.join(lineitem(spark, folder).select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+        # distinct first: the optional side of a semi join cannot be split if one order holds most lines
+        shipped = every.join(lineitem(spark, folder).select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
         return reconcile(per_period(every, month_end("o_orderdate")), per_period(shipped, month_end("o_orderdate")), percent, as_of)
 
     return run
@@ -265,8 +267,9 @@ def retained(spark, folder):
         since = F.col("d") >= F.add_months("first_date", n)
         return F.when(since & (F.col("d") < F.add_months("first_date", n + 1)), 1).when(since, 0)
 
-    snaps = o.join(first, "o_custkey").select("o_custkey", "d", within(7).alias("r7"), within(13).alias("r13"))
-    return retention_at(first, snaps, "o_custkey", "first_date", "d", {"r7": "r7", "r13": "r13"}, heavy=heavy_keys(o, "o_custkey"))
+    heavy = heavy_keys(o, "o_custkey")
+    snaps = salted_join(o, first, "o_custkey", "inner", heavy, ["d"]).select("o_custkey", "d", within(7).alias("r7"), within(13).alias("r13"))
+    return retention_at(first, snaps, "o_custkey", "first_date", "d", {"r7": "r7", "r13": "r13"}, heavy=heavy)
 
 
 RETENTION_SQL = """

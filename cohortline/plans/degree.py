@@ -27,7 +27,7 @@ INCOME_LEVELS = ["High", "Low"]
 
 def new_starts(new_start: DataFrame, opportunity: DataFrame, student_demographics: DataFrame, program_grouping: DataFrame, since: date) -> DataFrame:
     """Degree starts with student key, level, program group and on-ramp history."""
-    p, stage = F.col("program"), F.col("academy_stage")
+    p, stage = F.col("program"), F.col("onramp_stage")
     rows = new_start.where(F.col("closed_ts") >= F.lit(since)).select(
         "lead_id",
         F.to_date("closed_ts").alias("start_date"),
@@ -39,7 +39,7 @@ def new_starts(new_start: DataFrame, opportunity: DataFrame, student_demographic
         "ethnicity",
         "minority",
         keep_listed("income_level", INCOME_LEVELS).alias("income_level"),
-        stage.alias("onramp_stage"),
+        "onramp_stage",
         flag(stage == FINISHED).alias("onramp_completed_flag"),
         flag(stage != NEVER).alias("onramp_attended_flag"),
     )

@@ -28,8 +28,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``, if any."""
-    context = spark.sparkContext
-    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ INPUTS = {
     "start_date string, status string, degree_status string, degree_program string, college_interest string, faa_date date",
     "course_enrollment": "person_id string, course_id string, item string, course string, start date, end date",
     "course_completion": "person_id string, course_id string, completed date",
-    "new_start": "lead_id string, closed_ts timestamp, college string, program string, academy_stage string, income_level string, "
+    "new_start": "lead_id string, closed_ts timestamp, college string, program string, onramp_stage string, income_level string, "
     "region string, ethnicity string, minority string",
     "student_month": "student_key bigint, student_id bigint, faa_date date, month_end date, college string, level string, "
     "program string, new_start int, grad int, ret7 int, ret13 int, term_seq int, term_otp int, term_start date, reverse_start int",

@@ -316,7 +316,7 @@ def test_inquiry_and_mart(spark, contacts, matches, feed, crm):
 
 def test_degree_start(spark, crm):
     def n(lead, program, stage, ts=T(2024, 3, 1)):
-        return dict(lead_id=lead, closed_ts=ts, college="IT", program=program, academy_stage=stage, income_level="Mid")
+        return dict(lead_id=lead, closed_ts=ts, college="IT", program=program, onramp_stage=stage, income_level="Mid")
 
     new = frame(spark, "new_start", n("L1", "MBA", "Graduated"), n("L2", "MSITMUG", "Never at Academy"), n("L4", None, None), n("L5", "BSIT", "Active"), n("L9", "BSIT", None), n("L1", "BSIT", None, T(2020, 6, 30)))
     att = frame(
