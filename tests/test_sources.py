@@ -52,6 +52,12 @@ def test_keep_round_trip(spark):
     assert kept.schema.simpleString() == df.schema.simpleString() and kept.count() == 5
 
 
+def test_keep_stays_lazy_without_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr("cohortline.session.shared_folder", lambda s: None)
+    df = spark.range(5)
+    assert keep(df, "five") is df
+
+
 def test_declared_schemas_parse():
     for name in S.INPUTS:
         assert len(S.schema_of(name)) > 0
