@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import lm_score, mixing, pii, substrings
+from cohortline.llm import decontaminate, lm_score, mixing, oracles, pii, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op2_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity")
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,5 +32,5 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-LLM_ENTRIES = {f.__name__: f for f in (op2_pii, op4_mixing, op8_substring_dedup, op10_lm_scoring)}
-LLM_SQL: dict[str, str] = {}
+LLM_ENTRIES = {f.__name__: f for f in (op2_pii, op3_decontamination, op4_mixing, op8_substring_dedup, op10_lm_scoring)}
+LLM_SQL = {"op2_pii": oracles.PII, "op3_decontamination": oracles.LEAKS, "op8_substring_dedup": oracles.REPEATS}
