@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import decontaminate, lm_score, mixing, oracles, pii, substrings
+from cohortline.llm import decontaminate, lm_score, mixing, near_dup, oracles, pii, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "first")
+
+
 def op2_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-LLM_ENTRIES = {f.__name__: f for f in (op2_pii, op3_decontamination, op4_mixing, op8_substring_dedup, op10_lm_scoring)}
+LLM_ENTRIES = {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_decontamination, op4_mixing, op8_substring_dedup, op10_lm_scoring)}
 LLM_SQL = {"op2_pii": oracles.PII, "op3_decontamination": oracles.LEAKS, "op8_substring_dedup": oracles.REPEATS}
