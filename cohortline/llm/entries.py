@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,5 +64,9 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-LLM_ENTRIES = {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_decontamination, op4_mixing, op5_token_counts, op6_chat, op7_nearest, op8_substring_dedup, op9_language_id, op10_lm_scoring)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+LLM_ENTRIES = {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_decontamination, op4_mixing, op5_token_counts, op6_chat, op7_nearest, op8_substring_dedup, op9_language_id, op10_lm_scoring, pipeline)}
 LLM_SQL = {"op2_pii": oracles.PII, "op3_decontamination": oracles.LEAKS, "op8_substring_dedup": oracles.REPEATS}

@@ -153,3 +153,18 @@ def mix(
     taken = F.col("turns") * F.col("size") + overlap(F.col("from"), F.least(last, F.col("blocks")))
     taken = taken + overlap(F.lit(0), F.greatest(last - F.col("blocks"), F.lit(0)))
     return axis.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "doc_key")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and ``mix_size``, ``mix_target`` and ``mix_taken``.
+
+    Rows that agree in id and text lie next to each other on the axis; the words taken of
+    them are shared out evenly, so each row of such a group carries the same count.
+    """
+    mixed = mix(docs, id_col, text_col, source_col)
+    found = mixed.groupBy(F.col("doc_key").alias("__key"), F.col("source").alias("__source")).agg(
+        F.first("size").alias("mix_size"), F.first("target").alias("mix_target"), F.floor(F.sum("taken") / F.count(F.lit(1))).alias("mix_taken")
+    )
+    key = F.xxhash64(F.lit(SEED), docs[id_col], docs[text_col])
+    same = (key == F.col("__key")) & docs[source_col].eqNullSafe(F.col("__source"))
+    return docs.join(found.where("mix_taken > 0"), same).drop("__key", "__source")

@@ -156,12 +156,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for i, kind in enumerate(KINDS):
         df = parts(df, kind, text_col, f"__m{i}", f"__g{i}")
         each = F.arrays_zip(F.col(f"__g{i}").alias("gap"), verdicts(kind, f"__m{i}", f"__g{i}").alias("v"))
-        filled = F.transform(
-            each,
-            lambda x, k=kind: F.concat(
-                x["gap"], F.when(x["v"]["ok"], F.lit(f"[{k.name.upper()}]")).otherwise(F.coalesce(x["v"]["m"], F.lit("")))
-            ),
-        )
+        tag = F.lit(f"[{kind.name.upper()}]")
+        filled = F.transform(each, lambda x: F.concat(x["gap"], F.when(x["v"]["ok"], tag).otherwise(F.coalesce(x["v"]["m"], F.lit("")))))  # noqa: B023
         df = df.withColumn(text_col, F.when(F.col(f"__g{i}").isNotNull(), F.array_join(filled, "")).otherwise(F.col(text_col)))
         df = df.drop(f"__m{i}", f"__g{i}")
     return df.select(*names)
