@@ -7,11 +7,12 @@ builders and once in SQL.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from cohortline import plans
+from cohortline.functions import blank_to_null
 from cohortline.operators.audit import audit_unique
 from cohortline.operators.matching import event_kinds
 from cohortline.operators.skew import heavy_by_key, merge_heavy
@@ -25,6 +26,7 @@ from cohortline.sources import table_from
 
 SINCE = date(1996, 1, 1)
 AS_OF = date(2001, 1, 1)
+RUN_TS = datetime(2001, 1, 2)
 ZONE = "America/Denver"
 TAG = "Alpha"
 
@@ -205,10 +207,11 @@ def onramp(i):
 
 def inquiry(i):
     names = ["onramp_contact", "id_match", "course_enrollment", "course_completion", "status_feed", "lead_demographics", "student_month"]
-    heavy = merge_heavy(
-        heavy_by_key(i.id_match, "lead_id", "student_key"), heavy_by_key(i.onramp_contact, "person_id"), heavy_by_key(i.student_month, "student_key")
-    )
-    return plans.build_inquiry(*i.take(*names), tag=TAG, since=SINCE, orientation="Welcome", start_year=1998, heavy=heavy)
+    # hashed as the builder joins them: cleaned and typed
+    matches = i.id_match.select("lead_id", F.col("student_key").try_cast("bigint").alias("student_key"))
+    people = i.onramp_contact.select(blank_to_null("person_id", "null").alias("person_id"))
+    heavy = merge_heavy(heavy_by_key(matches, "lead_id", "student_key"), heavy_by_key(people, "person_id"))
+    return plans.build_inquiry(*i.take(*names), tag=TAG, since=SINCE, orientation="Welcome", start_year=1998, heavy=heavy, run_ts=RUN_TS)
 
 
 def degree_start(i):
@@ -392,7 +395,7 @@ STAGES = {
         FROM student_month s JOIN (SELECT student_key, min(received_date) AS a FROM inq1 GROUP BY 1) i ON i.student_key = s.student_key AND s.faa_date > i.a
         WHERE new_start = 1 AND year(s.faa_date) = 1998
         QUALIFY row_number() OVER (PARTITION BY s.student_key ORDER BY s.faa_date, start_school NULLS LAST) = 1""",
-    "inquiry": f"""SELECT i.*, degree_start_date, start_school, {days('onramp_start_date', 'received_date')} AS days_rec_to_onramp,
+    "inquiry": f"""SELECT i.*, TIMESTAMP '2001-01-02 00:00:00' AS last_refreshed, degree_start_date, start_school, {days('onramp_start_date', 'received_date')} AS days_rec_to_onramp,
         {bins(days('onramp_start_date', 'received_date'), [7, 14, 30, 60], ['7 or fewer days', '8-14 days', '15-30 days', '31-60 days', '61+ days'])} AS bins_rec_to_onramp,
         CASE WHEN start_school = 'WSB' THEN 1 ELSE 0 END AS start_wsb, CASE WHEN start_school = 'WSE' THEN 1 ELSE 0 END AS start_wse,
         CASE WHEN start_school = 'LSH' THEN 1 ELSE 0 END AS start_lsh, CASE WHEN start_school = 'WST' THEN 1 ELSE 0 END AS start_wst,
@@ -561,7 +564,7 @@ OFFICIAL_SQL = "(SELECT CAST(end_date AS DATE) AS period, CAST(sum(value) AS BIG
 
 def check_sql(table: str, day: str, n: str, percent: str, where: str = "TRUE", closed: bool = False) -> str:
     """A monthly reconciliation in SQL."""
-    shown = {"tenth": "round(diff / n_official, 3) * 100", "whole": "round(diff / n_official * 100, 0)"}[percent]
+    shown = {"tenth": "round(diff / n_official, 3) * 100", "whole": "round(diff / n_official * 100, 0)", "share": "round(diff / n_etl, 2)"}[percent]
     late = " AND period < DATE '2001-01-01'" if closed else ""
     return f"""SELECT *, {shown} AS percent_diff FROM (SELECT period, n_etl, n_official, n_etl - n_official AS diff FROM
         (SELECT last_day({day}) AS period, CAST({n} AS BIGINT) AS n_etl FROM {table} WHERE {where} GROUP BY 1) a JOIN {OFFICIAL_SQL} b USING (period)) WHERE TRUE{late}"""
@@ -650,10 +653,14 @@ REPORTS = {
         "SELECT completed_onramp, completed_course_flag, count(*) AS n FROM inquiry WHERE completed_onramp <> completed_course_flag GROUP BY 1, 2",
     ),
     "report_school_counts": (
-        lambda i: R.school_counts(inquiry(i)),
+        lambda i: R.school_counts(inquiry(i), date(1997, 1, 1)),
         """SELECT received_month, count(*) FILTER (interest_school = 'WSB') AS "WSB", count(*) FILTER (interest_school = 'WSE') AS "WSE", count(*) FILTER (interest_school = 'LSH') AS "LSH",
         count(*) FILTER (interest_school = 'WST') AS "WST", count(*) FILTER (interest_school IS NULL OR interest_school NOT IN ('WSB', 'WSE', 'LSH', 'WST')) AS "Missing", count(*) AS total
-        FROM inquiry WHERE lead_id IS NOT NULL GROUP BY 1""",
+        FROM inquiry WHERE lead_id IS NOT NULL AND received_date >= DATE '1997-01-01' GROUP BY 1""",
+    ),
+    "report_inquiry_monthly": (
+        lambda i: R.inquiry_monthly(inquiry(i), TAG, i.official_monthly, AS_OF),
+        check_sql("inquiry", "received_date", "count(contact_id)", "share", f"program_tag = '{TAG}'", closed=True),
     ),
     "report_attrition_ids": (
         lambda i: R.attrition_ids(attrition(i)),
@@ -681,6 +688,10 @@ REPORTS = {
         """SELECT 'Before Join' AS label, count(lead_id) AS n, count(DISTINCT lead_id) AS unique_n FROM new_start WHERE closed_ts >= DATE '1996-01-01'
         UNION ALL SELECT 'After Join', count(lead_id), count(DISTINCT lead_id) FROM degree_start""",
     ),
+    "report_starts_monthly": (
+        lambda i: R.monthly_check(degree_start(i), "start_date", "lead_id", i.official_monthly),
+        check_sql("degree_start", "start_date", "count(lead_id)", "tenth"),
+    ),
     "report_onramp_finishers": (
         lambda i: R.monthly_check(degree_start(i), "start_date", "lead_id", i.official_monthly, where=F.col("onramp_completed_flag") == 1),
         check_sql("degree_start", "start_date", "count(lead_id)", "tenth", "onramp_completed_flag = 1"),

@@ -194,10 +194,11 @@ def attrition_attached(spark, folder):
     return attrition_attach(inputs[2], attrition_unique(attrition_events(*inputs, since=SINCE, as_of=AS_OF)))
 
 
-def nation_counts(spark, folder):
-    c = customer(spark, folder).where(F.col("c_acctbal") > 9500).groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    s = table_from(spark, folder, "supplier").where(F.col("s_acctbal") > 3000).groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return compare_full(c, s, "nation", "customers", "suppliers")
+def day_counts(spark, folder):
+    """Orders and shipments per day: the first days have orders alone, the last ones shipments alone."""
+    ordered = orders(spark, folder).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("ordered"))
+    shipped = table_from(spark, folder, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("shipped"))
+    return compare_full(ordered, shipped, "day", "ordered", "shipped")
 
 
 def three_series(spark, folder):
@@ -401,10 +402,10 @@ ENTRIES = {
         FROM o LEFT JOIN one ON one.lead_id = o.lead_id AND one.term_start = o.term_start""",
     ),
     "compare_full_outer": (
-        nation_counts,
-        """WITH c AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal > 9500 GROUP BY 1),
-        s AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal > 3000 GROUP BY 1)
-        SELECT nation, customers, suppliers, round((suppliers - customers) / customers, 2) AS prop_diff FROM c FULL JOIN s USING (nation)""",
+        day_counts,
+        """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS ordered FROM orders GROUP BY 1),
+        s AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS shipped FROM lineitem GROUP BY 1)
+        SELECT day, ordered, shipped, round((shipped - ordered) / ordered, 2) AS prop_diff FROM o FULL JOIN s USING (day)""",
     ),
     "series_three_way": (
         three_series,

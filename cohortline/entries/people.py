@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from cohortline.functions import flag, week_ending
@@ -46,7 +49,8 @@ def kind(ev, event_type, at_least=None):
 def person_dates(spark, folder):
     """One row per user: time of each funnel step."""
     ev = events(spark, folder)
-    heavy = heavy_keys(ev, "user_id")
+    joined = reduce(or_, [(F.col("event_type") == event_type) & (F.col("value") >= at_least) for event_type, at_least, _ in STEPS.values()])
+    heavy = heavy_keys(ev.where(joined), "user_id")
     out = kind(ev, "signup").groupBy("user_id").agg(F.min("ts").alias("signup_ts"))
     for name, (event_type, at_least, anchor) in STEPS.items():
         out = attach_first(out, kind(ev, event_type, at_least).select("user_id", F.col("ts").alias(name)), "user_id", anchor, name, heavy=heavy)
@@ -98,7 +102,7 @@ def anchors(ev):
 def asof_forward(spark, folder):
     ev = events(spark, folder)
     found = kind(ev, "error", 95).select("user_id", "ts", "event_id", "value")
-    return asof_forward_first(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", heavy=heavy_keys(ev, "user_id"))
+    return asof_forward_first(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", heavy=heavy_keys(found, "user_id"))
 
 
 def asof_forward_strict(spark, folder):
@@ -108,19 +112,19 @@ def asof_forward_strict(spark, folder):
     found = kind(ev, "error").select("user_id", F.to_date("ts").alias("error_date"), "event_id")
     return asof_forward_first(
         base.withColumn("anchor_date", F.to_date("anchor_ts")), found, "user_id", "anchor_date", "error_date",
-        strict=True, tie="event_id", heavy=heavy_keys(ev, "user_id"),
+        strict=True, tie="event_id", heavy=heavy_keys(found, "user_id"),
     )
 
 
 def asof_backward(spark, folder):
     ev = events(spark, folder)
     found = kind(ev, "view", 90).select("user_id", "ts", "event_id", "value")
-    return asof_backward_last(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", how="left", heavy=heavy_keys(ev, "user_id"))
+    return asof_backward_last(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", how="left", heavy=heavy_keys(found, "user_id"))
 
 
 def stage_flags(spark, folder):
     ev = events(spark, folder)
-    heavy = heavy_keys(ev, "user_id")
+    heavy = heavy_keys(ev.where(F.col("event_type").isin("view", "purchase") & (F.col("value") >= 97)), "user_id")
     base = kind(ev, "signup").groupBy("user_id").agg(F.min("ts").alias("signup_ts"))
     out = base
     for name, event_type in {"view": "view", "buy": "purchase"}.items():

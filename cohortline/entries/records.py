@@ -60,12 +60,12 @@ WITH r AS (SELECT p_brand, p_type, CASE WHEN p_size <= 3 THEN 1 WHEN p_size <= 6
   FROM part WHERE p_brand LIKE 'Brand#1%' AND p_size <= 10),
 w AS (SELECT p_brand, p_type, min(product) FILTER (seq = 1) AS product1, min(product) FILTER (seq = 2) AS product2,
   min(product) FILTER (seq = 3) AS product3 FROM r GROUP BY 1, 2),
-p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_size >= 5)
+p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part)
 """
 
 
 def rule_rows(spark, folder):
-    return part(spark, folder).where(F.col("p_size") >= 5).select("p_partkey", *RULE_KEYS, "p_size")
+    return part(spark, folder).select("p_partkey", *RULE_KEYS, "p_size")
 
 
 def looked_up(spark, folder):
@@ -140,9 +140,9 @@ ENTRIES = {
         FROM part GROUP BY 1, 2""",
     ),
     "any_prefix_flag": (
-        lambda s, d: any_prefix_flag(part(s, d).where(F.col("p_size") > 48), "p_brand", "p_type", ["PROMO", "ECON"], "has_promo"),
+        lambda s, d: any_prefix_flag(part(s, d), "p_brand", "p_type", ["PROMO", "ECON"], "has_promo"),
         """SELECT p_brand, max(CASE WHEN p_type LIKE 'PROMO%' OR p_type LIKE 'ECON%' THEN 1 ELSE 0 END) AS has_promo
-        FROM part WHERE p_size > 48 GROUP BY 1""",
+        FROM part GROUP BY 1""",
     ),
     "list_items": (
         lambda s, d: table_from(configure(s), d, "pages").select(

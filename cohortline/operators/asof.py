@@ -25,17 +25,19 @@ def _qualifying(base, events, on, anchor, ts, pick, test, heavy, tie):
 
 
 def _best(rows, events, on, ts, tie, pick, nulls_last):
-    """The first or last row per key, as the extreme of one struct.
+    """The first or last row per key: the payload at the extreme of time and ties.
 
     A sort-merge join hands its rows over ordered by key, so this aggregates as they
-    stream by; ranking them would sort every pair once more.  Columns after the ties
-    only settle which of several equal rows is shown.
+    stream by; ranking them would sort every pair once more.  Only time and ties are
+    compared, so the payload may be of any type, maps included.
     """
     rest = [c for c in events.columns if c not in (*on, ts, *tie)]
     order = [F.col(ts)]
     for c in tie:
         order += [F.col(c).isNull().alias(f"_n_{c}"), F.col(c)] if nulls_last else [F.col(c)]
-    best = rows.groupBy(*on).agg(pick(F.struct(*order, *rest)).alias("_b"))
+    by = F.struct(*order)
+    payload = F.struct(*[F.col(c) for c in (ts, *tie, *rest)])
+    best = rows.groupBy(*on).agg((F.min_by if pick is F.min else F.max_by)(payload, by).alias("_b"))
     return best.select(*[c if c in on else F.col("_b")[c].alias(c) for c in events.columns])
 
 

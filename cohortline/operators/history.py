@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.recode import flag
-from cohortline.operators.asof import asof_backward_last, asof_forward_first
-from cohortline.operators.skew import as_list
+from cohortline.operators.asof import asof_backward_last
+from cohortline.operators.skew import as_list, salted_join
 from cohortline.operators.stages import with_stage
 
 
@@ -60,16 +60,19 @@ def retention_at(
     """First known value of each metric in a snapshot after the anchor, attached wide.
 
     ``metrics`` maps a metric column to its short name; adds the metric and
-    ``<name>_date``.  ``anchors`` is a narrow frame with the keys and the anchor, to look
+    ``<name>_date``.  The snapshots are read once, however many metrics there are.  ``anchors`` is a narrow frame with the keys and the anchor, to look
     events up from where ``base`` is wide.
     """
     keys = as_list(on)
-    out = base
-    for metric, name in metrics.items():
-        known = snaps.where(F.col(metric).isNotNull()).select(*keys, ts, F.col(metric).cast("int").alias(metric))
-        first = asof_forward_first(base if anchors is None else anchors, known, keys, anchor, ts, strict=True, tie=metric, heavy=heavy)
-        out = with_stage(out, first.withColumnRenamed(ts, f"{name}_date"), keys, heavy=heavy)
-    return out
+    # all metrics in one pass over the snapshots: per key the earliest (time, value) of each
+    known = snaps.where(F.coalesce(*metrics).isNotNull() if len(metrics) > 1 else F.col(next(iter(metrics))).isNotNull())
+    known = known.select(*keys, ts, *[F.col(m).cast("int").alias(m) for m in metrics])
+    first_anchor = (base if anchors is None else anchors).where(F.col(anchor).isNotNull()).groupBy(*keys).agg(F.min(anchor).alias("_anchor"))
+    later = salted_join(known, first_anchor, keys, "inner", heavy, [ts]).where(F.col(ts) > F.col("_anchor"))
+    firsts = {m: F.min(F.when(F.col(m).isNotNull(), F.struct(ts, m))).alias(f"_{m}") for m in metrics}
+    found = later.groupBy(*keys).agg(*firsts.values())
+    parts = [c for m, n in metrics.items() for c in (F.col(f"_{m}")[ts].alias(f"{n}_date"), F.col(f"_{m}")[m].alias(m))]
+    return with_stage(base, found.select(*keys, *parts), keys, heavy=heavy)
 
 
 def retention_avg(df: DataFrame, metric: str, month: str, name: str, digits: int = 2) -> DataFrame:

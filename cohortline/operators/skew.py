@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+NULL_KEY = 42  # xxhash64 of NULL, whatever its type: rows without a partner that a left join should spread
 SHARE = 0.005
 FLOOR = 1_000_000
 

@@ -64,10 +64,17 @@ def attach_responses(answers: DataFrame, apps: DataFrame, person: str, question:
 def widen_rules(rules: DataFrame, keys: Sequence[str], seq: str, value: str, width: int, prefix: str = "product") -> DataFrame:
     """Rule rows (one per step) to one row per key with columns ``<prefix>1..n``.
 
-    A repeated rule contributes its alphabetically first value.
+    A repeated rule contributes its alphabetically first value.  A step that has no
+    column (NULL or outside 1..``width``) fails the query: no rule is dropped silently.
     """
-    cells = [F.min(F.when(F.col(seq) == i, F.col(value))).alias(f"{prefix}{i}") for i in range(1, width + 1)]
-    return rules.groupBy(*keys).agg(*cells)
+    lost = F.max(~F.coalesce(F.col(seq).between(1, width), F.lit(False)))
+    error = F.raise_error(F.concat(F.lit(f"a rule step in {seq} has none of the {width} columns: "), F.to_json(F.struct(*keys))))
+    wide = rules.groupBy(*keys).agg(
+        lost.alias("_lost"), *[F.min(F.when(F.col(seq) == i, F.col(value))).alias(f"{prefix}{i}") for i in range(1, width + 1)]
+    )
+    # raised in the key columns, which every reader of the rules needs
+    checked = {k: F.when(F.col("_lost"), error.cast(wide.schema[k].dataType)).otherwise(F.col(k)) for k in keys[:1]}
+    return wide.withColumns(checked).drop("_lost")
 
 
 def apply_rules(df: DataFrame, wide_rules: DataFrame, keys: Sequence[str], heavy: Sequence[int] = ()) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date
+from datetime import date, datetime
 from types import MappingProxyType
 
 from pyspark.sql import DataFrame
@@ -15,7 +15,8 @@ from cohortline.operators.audit import screen_test_records
 from cohortline.operators.dedupe import dedupe_first
 from cohortline.operators.demographics import enrich_demographics
 from cohortline.operators.matching import event_kinds, first_product, match_ids, outcomes
-from cohortline.operators.stages import direct_vs_via, funnel_flags, with_stage
+from cohortline.operators.skew import NULL_KEY
+from cohortline.operators.stages import direct_vs_via, funnel_flags, stamp_refresh, with_stage
 from cohortline.plans.leads import applications
 
 # Fields of interest and college codes as school codes, status values
@@ -90,12 +91,15 @@ def build_inquiry(
     orientation: str,
     start_year: int,
     heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
+    run_ts: datetime | None = None,
 ) -> DataFrame:
     """One row per inquiry: matched ids, first product, demographics and funnel flags.
 
-    ``heavy`` may name heavy values of person_id, lead_id and student_key; NULL is the
-    usual one, for inquiries nothing matches.
+    ``heavy`` may name heavy values of person_id, lead_id and student_key, hashed in
+    the types joined here.  NULL, for inquiries nothing matches, is always spread.  With
+    ``run_ts`` the rows carry it as ``last_refreshed``.
     """
+    heavy = {k: [*heavy.get(k, ()), NULL_KEY] for k in ("person_id", "lead_id", "student_key")}
     contacts = screen_test_records(
         onramp_contact.where(F.col("subclass").contains(tag) & (F.col("created_ts") >= F.lit(since))), test_flag="is_test"
     ).select(
@@ -175,4 +179,5 @@ def build_inquiry(
         }
     )
     both = direct_vs_via("started_onramp", "started_degree")
-    return out.withColumns({"started_direct_degree": both["direct"], "started_onramp_and_degree": both["via"]})
+    out = out.withColumns({"started_direct_degree": both["direct"], "started_onramp_and_degree": both["via"]})
+    return out if run_ts is None else stamp_refresh(out, run_ts)

@@ -139,9 +139,17 @@ def completion_disagreement(inquiry: DataFrame) -> DataFrame:
     return disagreement(inquiry, "completed_onramp", "completed_course_flag")
 
 
-def school_counts(inquiry: DataFrame) -> DataFrame:
-    """Matched inquiries per month and school of interest."""
-    return crosstab(inquiry.where(F.col("lead_id").isNotNull()), "received_month", "interest_school", SCHOOLS)
+def school_counts(inquiry: DataFrame, since: date | None = None) -> DataFrame:
+    """Matched inquiries per month and school of interest, from a first day on."""
+    rows = inquiry.where(F.col("lead_id").isNotNull())
+    if since is not None:
+        rows = rows.where(F.col("received_date") >= F.lit(since))
+    return crosstab(rows, "received_month", "interest_school", SCHOOLS)
+
+
+def inquiry_monthly(inquiry: DataFrame, tag: str, official: DataFrame, as_of: date) -> DataFrame:
+    """Inquiries of a program per closed month against the official series, as a share of our own count."""
+    return monthly_check(inquiry, "received_date", "contact_id", official, "share", as_of, F.col("program_tag") == tag)
 
 
 def attrition_ids(events: DataFrame) -> DataFrame:

@@ -34,5 +34,9 @@ def read_rules_csv(spark: SparkSession, path: str, schema: T.StructType = RULES_
 
 
 def table_from(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``<folder>/<name>.parquet``."""
-    return spark.read.schema(schema_of(name)).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """``<folder>/<name>.parquet`` under its declared schema; a declared column that the file lacks is an error."""
+    path, schema = f"{folder.rstrip('/')}/{name}.parquet", schema_of(name)
+    missing = set(schema.names) - set(spark.read.parquet(path).columns)
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
+    return spark.read.schema(schema).parquet(path)

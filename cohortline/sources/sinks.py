@@ -28,10 +28,16 @@ def overwrite_table(df: DataFrame, name: str, schema: str = "replace", fmt: str
         raise ValueError("schema must be 'replace' or 'merge'")
     if schema == "merge" and df.sparkSession.catalog.tableExists(name):
         df = _widened(df, name)
-    writer = df.hint("rebalance").write.format(fmt).mode("overwrite")
-    if fmt == "delta":
-        writer = writer.option("overwriteSchema" if schema == "replace" else "mergeSchema", "true")
-    writer.saveAsTable(name)
+    spark, writer = df.sparkSession, df.hint("rebalance").write.format(fmt)
+    if fmt == "delta":  # replaces the table in one commit
+        writer.mode("overwrite").option("overwriteSchema" if schema == "replace" else "mergeSchema", "true").saveAsTable(name)
+        return
+    # the old table goes only when the new one is whole
+    fresh = f"{name}__fresh"
+    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+    writer.saveAsTable(fresh)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
 
 def overwrite_partitioned(df: DataFrame, name: str, path: str, by: str, fmt: str = "parquet") -> None:

@@ -5,8 +5,7 @@ from compare import connect, differences
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
-
-SQL = contract.oracle_sql()
+from cohortline.entries import ENTRIES
 
 
 @pytest.fixture(scope="module")
@@ -14,10 +13,10 @@ def con():
     return connect(TESTDATA)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(ENTRIES))
 def test_matches_sql(spark, con, name):
     df = contract.queries()[name](spark, TESTDATA)
-    assert differences(df, con, SQL[name]) == []
+    assert differences(df, con, contract.oracle_sql()[name]) == []
 
 
 def test_entry(spark):
