@@ -9,7 +9,7 @@ every match its place in code points, in time linear in the text.
 Kinds: ``email``, ``ip``, ``card`` and ``phone`` are found by their pattern and rule alone
 and always stay.  The method adds ``iban`` (mod 97 confirms it), and ``ssn`` and
 ``localphone``, whose patterns are weak: they stay only where a context word
-stands within ``REACH`` characters and lifts their score over ``THRESHOLD``.
+stands within ``REACH`` characters (up to the next match of the kind) and lifts their score over ``THRESHOLD``.
 
 Quantifiers are possessive where nothing that follows could use what they would give
 back, and a match may begin only where a run begins or the last match ended.  This
@@ -160,4 +160,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         filled = F.transform(each, lambda x: F.concat(x["gap"], F.when(x["v"]["ok"], tag).otherwise(F.coalesce(x["v"]["m"], F.lit("")))))  # noqa: B023
         df = df.withColumn(text_col, F.when(F.col(f"__g{i}").isNotNull(), F.array_join(filled, "")).otherwise(F.col(text_col)))
         df = df.drop(f"__m{i}", f"__g{i}")
-    return df.select(*names)
+    # a generator on top: a filter on the text is then not pushed below and repeated in every step
+    return df.select(*[F.explode_outer(F.array(c)).alias(c) if c == text_col else F.col(c) for c in names])

@@ -1,0 +1,3 @@
+import os
+
+TESTDATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
