@@ -76,3 +76,12 @@ def test_a_failed_rewrite_keeps_the_old_table(spark):
     assert spark.table("swapped").count() == 3
     overwrite_table(spark.range(5), "swapped")
     assert spark.table("swapped").count() == 5
+
+
+def test_kept_tables_can_be_deleted(spark, tmp_path, monkeypatch):
+    from cohortline import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert session.keep(spark.range(5), "five").count() == 5 and list(tmp_path.rglob("five-*"))
+    session.forget(spark)
+    assert not list(tmp_path.rglob("five-*"))
