@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 1 << 20
 GAP_REGEX = r"[\x20\x09-\x0D]+"
@@ -34,6 +35,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most ``rows`` documents at a time to Python, in this session: whole texts are long, and executors hold several batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """A frame marked for broadcast if its counted rows are few; else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows <= most else df
+
+
 # --- batches of text -------------------------------------------------------------------
 
 

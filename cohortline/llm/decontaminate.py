@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import keep
+from cohortline.llm.common import keep, small
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -75,10 +75,6 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, h: acc + F.least(count(a, h), count(b, h)))
 
 
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
-
-
 def matches(
     docs: DataFrame,
     items: DataFrame,

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import flat, keep, pieces
+from cohortline.llm.common import flat, keep, pieces, short_batches
 
 BUCKETS_LOG = 14
 BUCKETS = 1 << BUCKETS_LOG
@@ -77,6 +77,7 @@ def count_rows(batches):
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE):
     """Languages and log probabilities of the buckets, from a sample of about ``sample`` rows chosen by hash."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isNotNull())
+    short_batches(labelled.sparkSession)
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
@@ -120,6 +121,7 @@ def identify(df: DataFrame, model, text: Column, declared: Column, suffix: Colum
     if not names:
         return df.withColumns({"__language": F.lit("und"), "__posterior": F.lit(None).cast("double"), "__accepted": F.lit(False)})
     size = len(names)
+    short_batches(df.sparkSession)
     marked = df.withColumns(
         {
             "__evidence": evidence(model)(F.coalesce(text, F.lit(""))),

@@ -14,12 +14,16 @@ log(registers) + 4 per register and document; the few documents with a register
 empty are run again with twice the limit.
 
 1. Documents with one sequence of words are one node; only nodes go on.
-2. ``BANDS`` bands of ``ROWS`` registers: a pair at the threshold misses every band with odds under 1 in 10 million.
-3. In each bucket the members are compared with its leader, in rounds with other leaders,
-   skipping members that are already in one class: a group of n near copies costs about n
+2. ``BANDS`` bands of ``ROWS`` registers: a pair at the threshold misses every band with odds of 3 in a million.
+3. Buckets of more than ``HOT`` members, from copies with many changes of one text, would make all pairs of a group
+   candidates.  Their members get a signature of ``LONG_ROWS`` x ``LONG_BANDS`` registers instead: those
+   bands are as sure to meet at the threshold, but a pair of similarity 0.5 meets in 1 of 50 cases.
+4. In each bucket the members are compared with its leader, first the one that shares most bands with others (the text the
+   copies were made of), then in rounds with other leaders, skipping members that are already in one class: a group of n near copies costs about n
    checks.  When few open pairs are left, all pairs of members in different classes are checked,
-   so no link between classes is lost to the choice of leaders.
-4. A check ships each text once per leader it is compared with; a leader with many members is
+   so no link between classes is lost to the choice of leaders.  Pairs whose signatures, kept as two bits per register, differ
+   in more than ``MOST_APART`` registers (5 deviations from the threshold) are left out.
+5. A check ships each text once per leader it is compared with; a leader with many members is
    repeated for every ``GROUP`` of them, so no task gathers a class.
 
 Documents without words (null, empty, punctuation alone) are classes of their own row.  Null ids and
@@ -31,18 +35,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import find_words, flat, keep, mix, pieces, signed, window_hashes, word_hashes
+from cohortline.llm.common import find_words, flat, keep, mix, pieces, short_batches, signed, small, window_hashes, word_hashes
 
 SIMILARITY = 0.8
 SHINGLE = 5
-REGISTERS = 128
-ROWS = 4
+REGISTERS = 252
+ROWS = 6
 BANDS = REGISTERS // ROWS
+MOST_APART = 66  # registers of 252 whose two-bit sketches differ: 38 at the threshold, deviation 5.7
+HOT = 64  # members; larger buckets are dealt anew by long bands
+LONG_ROWS, LONG_BANDS = 14, 336
 GROUP = 500
-ROUNDS = 6
+ROUNDS = 2
+MOST_DOCS = 100_000  # removed documents that are broadcast; more are joined
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
@@ -121,6 +129,18 @@ def _points(out, row, seed, weight, lower: int, upper: int, limit, m: int) -> No
         done += block
 
 
+SKETCH = [f"s{k}" for k in range(8)]
+
+
+def apart(left: list[str], right: list[str]) -> Column:
+    """In how many registers two sketches differ."""
+    total = F.lit(0)
+    for a, b in zip(left, right, strict=True):
+        x = F.col(a).bitwiseXOR(F.col(b))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
 def node_rows(batches):
     """Per document its node (hash of its words) and the hashes of its bands."""
     for batch in pieces(batches, "text"):
@@ -132,14 +152,30 @@ def node_rows(batches):
         for k in range(ROWS):
             band = mix(band + bits[:, k])
         band = mix(band.reshape(n, BANDS) + np.arange(BANDS, dtype=np.uint64)[None, :] * STEP)
+        low = np.zeros((n, 256), np.uint64)
+        low[:, :REGISTERS] = mix(times.view(np.uint64)) & np.uint64(3)
+        sketch = (low.reshape(n, 8, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(2, dtype=np.uint64)
         size = np.bincount(row, weights=weight, minlength=n).astype(np.int64)
         lists = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(signed(band).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("hash"), pa.array(signed(whole)), pa.array(size), lists],
-            ["doc_id", "hash", "node", "size", "bands"],
+            [batch.column("doc_id"), batch.column("hash"), pa.array(signed(whole)), pa.array(size), lists, *[pa.array(signed(sketch[:, k])) for k in range(8)]],
+            ["doc_id", "hash", "node", "size", "bands", *SKETCH],
         )
 
 
+def long_rows(batches):
+    """(node, bucket, 0) by the long bands."""
+    for batch in pieces(batches, "text", 1 << 17):
+        row, key, weight, _ = shingle_rows(batch.column("text"))
+        n = batch.num_rows
+        bits = signatures(row, key ^ np.uint64(0x5DEECE66D), weight, n, LONG_ROWS * LONG_BANDS).view(np.uint64).reshape(n, LONG_BANDS, LONG_ROWS)
+        band = np.broadcast_to(np.arange(1, LONG_BANDS + 1, dtype=np.uint64) * STEP, (n, LONG_BANDS)).copy()
+        for k in range(LONG_ROWS):
+            band = mix(band + bits[:, :, k])
+        nodes = np.repeat(np.asarray(batch.column("node")), LONG_BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(signed(band).ravel())], ["node", "bucket"])
+
+
 def check_rows(similarity: float):
     """Links among rows sorted by leader, group and leader first: each member against its leader."""
 
@@ -172,7 +208,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / GROUP), F.lit(1))).cast("int").alias("salt"))
     heads = salted.groupBy("a").agg(F.collect_set("salt").alias("salts")).select(F.col("a").alias("node"), F.col("a").alias("leader"), "salts")
     tails = salted.select(F.col("b").alias("node"), F.col("a").alias("leader"), F.array("salt").alias("salts"))
-    rows = texts.join(heads.unionByName(tails), "node").select("leader", "node", F.explode("salts").alias("salt"), "text")
+    rows = texts.join(heads.unionByName(tails).hint("merge"), "node").select("leader", "node", F.explode("salts").alias("salt"), "text")
     dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", (F.col("leader") != F.col("node")).cast("int"))
     return dealt.select("leader", "node", "text").mapInArrow(check_rows(similarity), "a long, b long")
 
@@ -185,7 +221,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = keep(edges, "links")
-    while True:
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -193,10 +231,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         new = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         new = keep(new, "links")
-        state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state(new) == state(edges):
+        after = state(new)
+        edges, same, before = new, after == before, after
+        if same:
             break
-        edges = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -211,19 +249,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     ``hash`` (of the text) and ``copy`` (a number among rows of one id and text) tell the rows of one id apart.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = keep(rows.mapInArrow(node_rows, "doc_id long, hash long, node long, size long, bands array<long>"), "nodes")
+    seen = keep(rows.mapInArrow(node_rows, "doc_id long, hash long, node long, size long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "nodes")
 
     # buckets with at least two nodes
-    nodes = seen.where("node != 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "hash"), F.struct("doc_id", "hash")).alias("who"), F.min("size").alias("size"), F.first("bands").alias("bands"))
-    spread = nodes.select("node", "who", "size", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    members = keep(spread.join(full, "bucket").select("bucket", "node", "who", "size"), "members")
-    wanted = members.select("node", F.col("who.doc_id").alias("_id"), F.col("who.hash").alias("_hash")).distinct()
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash"))).select("node", "text")
+    nodes = seen.where("node != 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "hash"), F.struct("doc_id", "hash")).alias("who"), F.min("size").alias("size"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in SKETCH])
+    nodes = keep(nodes, "distinct")
+    spread = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = keep(spread.join(sizes, "bucket").select("bucket", "node", "size", "n"), "shared")
+    # the hints keep one plan at every size
+    meets = shared.groupBy("node").agg(F.sum("n").alias("meets"), F.max("n").alias("most"))
+    sketches = keep(nodes.join(meets.hint("merge"), "node").select("node", "who", "size", "meets", "most", *SKETCH), "sketches")
+    wanted = sketches.select("node", F.col("who.doc_id").alias("_id"), F.col("who.hash").alias("_hash"), F.col("most") > HOT)
+    wanted = wanted.toDF("node", "_id", "_hash", "hot").hint("merge")
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash"))).select("node", "hot", "text")
     texts = keep(texts.dropDuplicates(["node"]), "texts")
+    dealt = keep(texts.where("hot").select("node", "text").mapInArrow(long_rows, "node long, bucket long"), "long")
+    again = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = shared.where(F.col("n") <= HOT).select("bucket", "node").unionByName(dealt.join(again, "bucket").select("bucket", "node"))
+    members = keep(members.join(sketches.select("node", "size", "meets"), "node"), "members")
 
-    labelled = members.select("bucket", "node", "size", F.col("node").alias("label"))
+    labelled = members.select("bucket", "node", "size", "meets", F.col("node").alias("label"))
     tried = None
     for turn in range(ROUNDS + 1):
         per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -232,14 +280,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         load = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("members")).first()
         if not load["members"]:
             break
-        last = turn == ROUNDS or (turn > 0 and load["pairs"] <= 4 * load["members"])
+        last = turn == ROUNDS or (turn > 0 and load["pairs"] <= 16 * load["members"])
         open_ = labelled.join(mixed.select("bucket"), "bucket")
         if last:
             left = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
             right = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
             pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
         else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label", "size")
+            rank = F.xxhash64("node", F.lit(turn)) if turn else -F.col("meets")
+            order = F.struct(rank.alias("rank"), "node", "label", "size")
             head = open_.groupBy("bucket").agg(F.min(order).alias("head"))
             pairs = open_.join(head, "bucket").where(F.col("label") != F.col("head.label"))
             pairs = pairs.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.size").alias("sa"), F.col("size").alias("sb"))
@@ -247,7 +296,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         pairs = pairs.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs["a"], pairs["b"]) == tried["x"], F.greatest(pairs["a"], pairs["b"]) == tried["y"]], "left_anti")
-        pairs = keep(pairs, "pairs")
+        near = pairs
+        for side in ("a", "b"):
+            mine = sketches.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
+            near = near.join(mine, side)
+        near = near.where(apart([f"a_{c}" for c in SKETCH], [f"b_{c}" for c in SKETCH]) <= MOST_APART)
+        pairs = keep(near.select("a", "b"), "pairs")
         counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         links = verify(pairs.join(counts, "a"), texts, similarity)
         done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
@@ -284,12 +338,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Rows without words all stay.
     """
-    gone = classes(docs, id_col, text_col)
-    stay = keep(gone.where("first").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "stay")
+    found = keep(classes(docs, id_col, text_col).select("doc_id", "hash", "first"), "classes")
+    pairs = found.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_if("first").alias("__stay")
+    )
+    pairs = keep(pairs.where("__stay < __rows"), "gone")  # rows of one id and text: none stays, or one of several
     names = docs.columns
-    text_hash = F.xxhash64(docs[text_col])
-    out = docs.withColumn("__text_hash", text_hash)
-    out = out.join(stay, out[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+", " "))
-    out = out.withColumn("__copy", F.row_number().over(Window.partitionBy(F.col(id_col), "__text_hash").orderBy(F.lit(1))))
-    return out.where((F.col("__copy") == 1) | (plain == "")).select(*names)
+    out = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    same = out[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    whole = pairs.where("__stay = 0")
+    out = out.join(small(whole, whole.count(), MOST_DOCS), same, "left_anti")
+    partly = pairs.where("__stay > 0")
+    n = partly.count()
+    if n:
+        out = out.join(small(partly, n, MOST_DOCS), same, "left")
+        out = out.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__text_hash", "__rows", id_col).orderBy(F.lit(1))))
+        out = out.where(F.col("__rows").isNull() | (F.col("__copy") <= F.col("__stay")))
+    return out.select(*names)

@@ -24,7 +24,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_near_duplicates_match_brute_force(docs):
+@pytest.mark.parametrize("hot", [near_dup.HOT, 2])
+def test_near_duplicates_match_brute_force(docs, monkeypatch, hot):
+    """Also with long bands for nearly every bucket."""
+    monkeypatch.setattr(near_dup, "HOT", hot)
     rows = texts()
     parent = list(range(len(rows)))
 
