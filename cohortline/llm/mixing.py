@@ -4,15 +4,17 @@ Every document has a size in words.  The mix is as large as all documents togeth
 source gets a share by weight, at most ``epochs`` times its own size, and what that frees
 goes to the other sources by weight.
 
-The words of a source lie on an axis per shard, in seeded order, cut into blocks of equal
-token counts.  Sainte-Lague gives each source, and within it each shard, a whole number
-of blocks: the seats go to the highest quotients share / (2 k + 1).  A quota of e full turns
-around the shard and r further blocks takes every document e times and the r blocks
-that follow a seeded block once more, so no document is taken more than ``epochs`` times.
+The words of a source lie on one axis, in seeded order.  Sainte-Lague gives each source a
+whole number of blocks of equal token counts: the seats go to the highest quotients
+share / (2 k + 1).  A block is at most a hundredth of the smallest target, so that every source gets
+seats.  A quota of e full turns around the axis and r further words takes every document e
+times and the r words that follow a seeded word once more, so the quota is filled to the word and no
+document is taken more than ``epochs`` times.
 
 Only the table of sources reaches the driver: the mixture's own configuration, one
 row and one weight per source.  Documents are shuffled as (id, source, size), never
-with their text.  The number of shards follows the number of documents.
+with their text.  An axis is laid in shards whose number follows the number of documents; where
+each shard begins on it comes from the sums of the shards before.
 
 Null text has size 0 and is never taken; a null source is a source of its own, last in
 order; a null id and repeated rows are kept, each with what it contributes; an empty
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20_240_601
-BLOCKS = 1_000_000  # blocks in the whole mix, unless they would be smaller than a word
+BLOCKS = 1_000_000  # least blocks in the whole mix, unless they would be smaller than a word
+LEAST_BLOCKS = 100  # of any source, unless they would be smaller than a word
 SHARD_DOCS = 50_000
 SHARDS = (64, 4096)
 
@@ -107,51 +110,35 @@ def mix(
     sizes = [int(r["words"]) for r in table]
     weights = [weight_cycle[i % len(weight_cycle)] for i in range(len(table))]
     targets = shares(sizes, weights, epochs)
-    block = max(1, sum(sizes) // blocks)
+    least = min((t for t in targets if t > 0), default=0.0)
+    block = max(1, min(sum(sizes) // blocks, int(least / LEAST_BLOCKS)))
     quotas = sainte_lague(np.array(targets), round(sum(sizes) / block), np.array([epochs * math.ceil(s / block) for s in sizes], np.int64))
+    words = [min(int(q) * block, epochs * s) for q, s in zip(quotas, sizes, strict=True)]
     shards = min(max(SHARDS[0], sum(r["n"] for r in table) // SHARD_DOCS), SHARDS[1])
 
     plan = spark.createDataFrame(
-        [(r["source"], s, t, int(q)) for r, s, t, q in zip(table, sizes, targets, quotas, strict=True)],
-        "source string, source_size long, target double, quota long",
+        [(r["source"], s, t, w // max(s, 1), w % max(s, 1)) for r, s, t, w in zip(table, sizes, targets, words, strict=True)],
+        "source string, source_size long, target double, turns long, extra long",
     )
     rows = rows.withColumn("shard", F.pmod("doc_key", F.lit(shards)))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
 
-    # the seats of a source go to its shards: a lower bound each, then the highest quotients
-    per_shard = rows.groupBy("source", "shard").agg(
-        F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("source_size").alias("source_size")
-    )
-    least = F.greatest(F.floor(F.col("words") * F.col("quota") / F.greatest("source_size", F.lit(1))) - 1, F.lit(0))
-    per_shard = per_shard.withColumn("least", least)
-    whole = Window.partitionBy("source")
-    seats = per_shard.withColumn("open", F.col("quota") - F.sum("least").over(whole))
-    seats = seats.withColumn("k", F.explode(F.expr("sequence(least, least + 3)")))
-    rank = F.row_number().over(whole.orderBy((F.col("words") / (2 * F.col("k") + 1)).desc(), "shard", "k"))
-    more = (F.col("rank") <= F.col("open")) & (F.col("words") > 0)
-    seats = (
-        seats.withColumn("rank", rank)
-        .groupBy("source", "shard", "words")
-        .agg((F.first("least") + F.sum(more.cast("long"))).alias("seats"))
-        .withColumn("blocks", F.ceil(F.col("words") / block))
-        .withColumn("turns", F.least(F.floor(F.col("seats") * block / F.greatest("words", F.lit(1))), F.lit(epochs)))
-        .withColumn("left", F.col("seats") * block - F.col("turns") * F.col("words"))
-        .withColumn("extra", F.when(F.col("turns") < epochs, F.least(F.round(F.col("left") / block), F.col("blocks"))).otherwise(0).cast("long"))
-        .withColumn("from", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("blocks", F.lit(1))))
-        .select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "words", "blocks", "turns", "extra", "from")
-    )
+    # where each shard begins on the axis of its source
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"))
+    starts = starts.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_start"))
     order = Window.partitionBy("source", "shard").orderBy("doc_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    axis = rows.withColumn("_end", F.sum("size").over(order)).withColumn("_begin", F.col("_end") - F.col("size"))
-    axis = axis.join(seats, axis["source"].eqNullSafe(seats["_source"]) & (axis["shard"] == seats["_shard"]))
+    axis = rows.withColumn("_here", F.sum("size").over(order))
+    axis = axis.join(starts, axis["source"].eqNullSafe(starts["_source"]) & (axis["shard"] == starts["_shard"]))
+    axis = axis.withColumn("_end", F.col("_start") + F.col("_here")).withColumn("_begin", F.col("_end") - F.col("size"))
 
     def overlap(low, high):
-        """Words of the document in the blocks [low, high)."""
-        upper = F.least(F.col("_end"), F.least(high * block, F.col("words")))
-        return F.greatest(upper - F.greatest(F.col("_begin"), low * block), F.lit(0))
+        """Words of the document in the stretch [low, high) of the axis."""
+        return F.greatest(F.least(F.col("_end"), high) - F.greatest(F.col("_begin"), low), F.lit(0))
 
-    last = F.col("from") + F.col("extra")
-    taken = F.col("turns") * F.col("size") + overlap(F.col("from"), F.least(last, F.col("blocks")))
-    taken = taken + overlap(F.lit(0), F.greatest(last - F.col("blocks"), F.lit(0)))
+    start = F.pmod(F.xxhash64(F.lit(seed), "source"), F.greatest("source_size", F.lit(1)))
+    last = start + F.col("extra")
+    taken = F.col("turns") * F.col("size") + overlap(start, last) + overlap(F.lit(0), last - F.col("source_size"))
     return axis.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "doc_key")
 
 

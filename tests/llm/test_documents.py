@@ -254,6 +254,19 @@ def test_mixture_meets_its_targets(spark, docs):
     assert took.columns[: len(docs.columns)] == docs.columns and took.where("mix_taken <= 0").count() == 0
 
 
+def test_mixture_fills_small_sources(spark):
+    """Also where a block of the whole mix is larger than a source's shards, or than the source."""
+    counts = {"a": (4, 25), "b": (400, 500), "c": (300, 400), "d": (1, 3)}
+    rows = [(f"{s}{i}", "w " * n, s) for s, (k, n) in counts.items() for i in range(k)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, source string"), blocks=50).collect()
+    target, taken = {r["source"]: r["target"] for r in out}, collections.Counter()
+    for r in out:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert len(out) == len(rows) and target["a"] == 300 and target["d"] == 9
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 1 for s in counts), (taken, target)
+
+
 def test_sainte_lague():
     assert list(mixing.sainte_lague([53, 24, 23], 7)) == [3, 2, 2]
     assert list(mixing.sainte_lague([1, 1, 1], 2)) == [1, 1, 0]
