@@ -10,8 +10,16 @@ The posterior of a language is proportional to the product of
   whole: (n + STRENGTH * parent) / (N + STRENGTH).  The counts come from grouped
   aggregation over all rows, by the language of their text alone.
 
-A row is accepted if its text has letters and its best language has a posterior of at
-least ``CERTAIN``.  Null or empty text, or text without letters, gets the language ``und`` and is not
+A row is accepted if its text has letters, its best language has a posterior of at least
+``CERTAIN`` and its text fits that language.  The mean log likelihood of its trigrams fits unless
+it is below that of none of these languages, for which every bucket is as likely, or
+
+- below the middle between the labelled rows of the language and what they get from the best
+  other language, the stand-in for a language without labels, and also
+- below nearly all labelled rows of the language: ``SPREAD`` standard deviations under their mean,
+  the deviation being that of whole rows and, for short texts, of single trigrams.
+
+Null or empty text, or text without letters, gets the language ``und`` and is not
 accepted.  A null host, suffix or declared language adds what is known of rows like it, or nothing.  Rows
 are never merged: repeated rows and null ids each get their result, and all columns are passed on.
 Without labelled rows every row is ``und``.
@@ -36,6 +44,8 @@ EVIDENCE = 200
 DECLARED = 0.9
 STRENGTH = 20.0
 CERTAIN = 0.5
+SPREAD = 4.0
+UNIFORM = -float(np.log(BUCKETS))
 MOST_HOSTS = 100_000
 
 LETTER = np.zeros(0x250, bool)
@@ -74,8 +84,48 @@ def count_rows(batches):
         )
 
 
+def fit_rows(model):
+    """(label, n, sum, squares) of each batch: rows and the mean log likelihood of their trigrams in their own language."""
+    names, table = model
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            bucket, row = trigrams(batch.column("text"))
+            n = np.bincount(row, minlength=batch.num_rows)
+            own = np.array([names.index(x) if x in names else -1 for x in batch.column("label").to_pylist()], np.int64)
+            mean = np.bincount(row, weights=table[bucket, own[row]], minlength=batch.num_rows) / np.maximum(n, 1)
+            for i in np.unique(own[(n > 0) & (own >= 0)]):
+                x = mean[(n > 0) & (own == i)]
+                yield pa.RecordBatch.from_pydict({"i": [int(i)], "n": [len(x)], "sum": [float(x.sum())], "squares": [float((x * x).sum())]})
+
+    return run
+
+
+def floors(rows: DataFrame, counts: pd.DataFrame, names: list[str], table: np.ndarray) -> np.ndarray:
+    """For every language the middle to the next one, and the mean and the deviations of its rows and of its trigrams."""
+    found = rows.mapInArrow(fit_rows((names, table)), "i long, n long, sum double, squares double").groupBy("i")
+    found = {r["i"]: r for r in found.agg(*[F.sum(c).alias(c) for c in ("n", "sum", "squares")]).collect()}
+    out = np.zeros((len(names), 4))
+    for i, name in enumerate(names):
+        mine = counts[counts["label"] == name]
+        n, own = mine["n"].to_numpy(float), table[mine["bucket"].to_numpy()].astype(float)
+        by = n @ own / n.sum()
+        other = max([UNIFORM, *np.delete(by, i)])
+        mean = found[i]["sum"] / found[i]["n"]
+        rows_sd = max(found[i]["squares"] / found[i]["n"] - mean * mean, 0.0) ** 0.5
+        out[i] = (by[i] + other) / 2, mean, rows_sd, (n @ (own[:, i] - by[i]) ** 2 / n.sum()) ** 0.5
+    return out
+
+
+def fits(mean: np.ndarray, n: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Whether texts of ``n`` trigrams with these means, a column for each language, are in the language."""
+    middle, usual, rows_sd, sd = floor.T
+    least = usual - SPREAD * np.sqrt(rows_sd**2 + sd**2 / np.clip(n, 1, EVIDENCE)[:, None])
+    return mean >= np.maximum(np.minimum(middle, least), UNIFORM)
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE):
-    """Languages and log probabilities of the buckets, from a sample of about ``sample`` rows chosen by hash."""
+    """Languages, log probabilities of the buckets and floors, from a sample of about ``sample`` rows chosen by hash."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isNotNull())
     short_batches(labelled.sparkSession)
     n = rows.count()
@@ -89,23 +139,26 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     for i, name in enumerate(names):
         mine = counts[counts["label"] == name]
         table[mine["bucket"].to_numpy(), i] += mine["n"].to_numpy()
-    return names, np.log(table / table.sum(0)).astype(np.float32)
+    table = np.log(table / table.sum(0)).astype(np.float32)
+    return names, table, floors(rows, counts, names, table)
 
 
 def evidence(model) -> callable:
-    """A UDF: the log likelihood of a text in every language, null for a text without letters."""
-    names, table = model
+    """A UDF: the log likelihood of a text in every language and whether it fits, null for a text without letters."""
+    names, table, floor = model
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("logs array<double>, fits array<boolean>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        logs, good = [], []
         for batch in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], "text"):
             bucket, row = trigrams(batch.column("text"))
             n = np.bincount(row, minlength=batch.num_rows)
             sums = np.stack([np.bincount(row, weights=table[bucket, i], minlength=batch.num_rows) for i in range(len(names))], 1) if names else np.zeros((batch.num_rows, 0))
-            scaled = sums * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-            out += [list(x) if k and names else None for x, k in zip(scaled, n, strict=True)]
-        return pd.Series(out, index=texts.index, dtype=object)
+            mean = sums / np.maximum(n, 1)[:, None]
+            scaled = mean * np.minimum(n, EVIDENCE)[:, None]
+            logs += [list(x) if k and names else None for x, k in zip(scaled, n, strict=True)]
+            good += [list(x) if k and names else None for x, k in zip(fits(mean, n, floor), n, strict=True)]
+        return pd.DataFrame({"logs": pd.Series(logs, dtype=object), "fits": pd.Series(good, dtype=object)})
 
     return run
 
@@ -122,9 +175,9 @@ def identify(df: DataFrame, model, text: Column, declared: Column, suffix: Colum
         return df.withColumns({"__language": F.lit("und"), "__posterior": F.lit(None).cast("double"), "__accepted": F.lit(False)})
     size = len(names)
     short_batches(df.sparkSession)
-    marked = df.withColumns(
+    marked = df.withColumn("__told", evidence(model)(F.coalesce(text, F.lit("")))).withColumns(
         {
-            "__evidence": evidence(model)(F.coalesce(text, F.lit(""))),
+            "__evidence": F.col("__told.logs"),
             "__declared": F.lower(declared),
             "__suffix": F.coalesce(F.lower(suffix), F.lit("")),
             "__host": F.coalesce(F.lower(host), F.lit("")),
@@ -155,14 +208,15 @@ def identify(df: DataFrame, model, text: Column, declared: Column, suffix: Colum
         logs.append(F.get("__evidence", F.lit(i)) + F.log(says) + F.log(F.get("__prior", F.lit(i))))
     out = joined.withColumn("__logs", F.array(*logs)).withColumn("__best", F.array_max("__logs"))
     total = F.aggregate("__logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("__best")))
-    chosen = F.get(F.array(*[F.lit(n) for n in names]), (F.array_position("__logs", F.col("__best")) - 1).cast("int"))
+    spot = (F.array_position("__logs", F.col("__best")) - 1).cast("int")
+    chosen = F.get(F.array(*[F.lit(n) for n in names]), spot)
     out = out.withColumns(
         {
             "__language": F.when(F.col("__evidence").isNull(), F.lit("und")).otherwise(chosen),
             "__posterior": F.when(F.col("__evidence").isNotNull(), 1 / total),
         }
     )
-    out = out.withColumn("__accepted", F.coalesce(F.col("__posterior") >= CERTAIN, F.lit(False)))
+    out = out.withColumn("__accepted", F.coalesce((F.col("__posterior") >= CERTAIN) & F.get("__told.fits", spot), F.lit(False)))
     return out.select(*[out[c] for c in df.columns], "__language", "__posterior", "__accepted")
 
 

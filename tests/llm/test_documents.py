@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -293,6 +294,33 @@ def test_language_of_documents_and_pages(spark):
     assert out == {1: ("de", True), 2: ("und", False), 3: ("en", True), 4: ("und", False)}
 
 
+def spoken(rng, words, n):
+    return " ".join(rng.choice(words.split()) for _ in range(n))
+
+
+SPEECH = {
+    "en": "the and of that with from this which have were their would there about when them other could time water people through where before right should between never",
+    "de": "der die und nicht mit einer auch sich werden zwischen immer noch schon durch gegen unter wieder haben wurde zeit wasser leute warum nichts kinder sprache straße",
+    "fr": "le les des une dans pour avec cette mais nous vous leur sont aussi entre toujours encore contre eau temps gens pourquoi rien enfants langue maison être jamais",
+}
+FOREIGN = {
+    "fi": "ja oli että mutta kuin hänen jotka myös vain niin kaikki sitten koska ihmiset vesi aika talossa kieli lapset miksi mitään aina vielä välillä",
+    "pl": "jest nie się przez który tylko może jeszcze między wszystko zawsze woda czas ludzie dlaczego nic dzieci język dom gdzie przed powinien",
+}
+
+
+def test_text_in_none_of_the_languages_is_rejected(spark):
+    rng = random.Random(3)
+    rows = [(i, spoken(rng, SPEECH[lang], rng.randint(5, 80)), lang) for i in range(300) for lang in SPEECH]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = [(i, spoken(rng, SPEECH[lang], 5 + i % 60), lang) for i in range(100) for lang in SPEECH]
+    foreign = [(1000 + i, spoken(rng, FOREIGN[lang], 40), "en") for i in range(30) for lang in FOREIGN]
+    noise = [(2000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)), "en") for i in range(60)]
+    docs = spark.createDataFrame([(*r, "s") for r in clean + foreign + noise + [(3000, "жил был у бабушки серенький козлик", None)]], "doc_id long, text string, lang string, source string")
+    kept = collections.Counter(r["doc_id"] for r in language.keep_identified(docs, model).collect())
+    assert kept == collections.Counter(i for i, _, _ in clean)
+
+
 def test_host_prior_decides_where_the_text_cannot(spark):
     labelled = spark.createDataFrame([(1, "abc abc abc", "aa"), (2, "abc abc abd", "bb")] * 20, "doc_id long, text string, lang string")
     model = language.train(labelled)
