@@ -3,7 +3,8 @@
 The posterior of a language is proportional to the product of
 
 - the text's likelihood under character trigrams (hashed to ``BUCKETS`` buckets, add-half smoothing),
-  learned from a sample of at most about ``SAMPLE`` labelled rows; long texts count as ``EVIDENCE`` trigrams,
+  learned from a sample of at most about ``SAMPLE`` labelled rows, as many of each label at most, so that
+  rare labels are learned as well and none is left out; long texts count as ``EVIDENCE`` trigrams,
   as neighbouring trigrams are not independent;
 - the declared language of the markup, right with probability ``DECLARED`` where it is known;
 - the prior of the host, smoothed towards the prior of its address suffix, and that towards the
@@ -39,12 +40,12 @@ from cohortline.llm.common import flat, keep, pieces, short_batches
 BUCKETS_LOG = 14
 BUCKETS = 1 << BUCKETS_LOG
 SAMPLE = 20_000
-LEAST_SHARE = 0.002  # of the sample; rarer labels are no language of their own
 EVIDENCE = 200
 DECLARED = 0.9
 STRENGTH = 20.0
 CERTAIN = 0.5
 SPREAD = 4.0
+DRAWS = 1 << 40
 UNIFORM = -float(np.log(BUCKETS))
 MOST_HOSTS = 100_000
 
@@ -84,17 +85,21 @@ def count_rows(batches):
         )
 
 
-def fit_rows(model):
-    """(label, n, sum, squares) of each batch: rows and the mean log likelihood of their trigrams in their own language."""
-    names, table = model
+def fit_rows(names: list[str], table: np.ndarray):
+    """(label's number, rows, sum, squares) of each batch: the mean log likelihood of a row's trigrams in its language, learned without that row."""
+    whole = table.sum(0)
+    number = {name: i for i, name in enumerate(names)}
 
     def run(batches):
         for batch in pieces(batches, "text"):
             bucket, row = trigrams(batch.column("text"))
             n = np.bincount(row, minlength=batch.num_rows)
-            own = np.array([names.index(x) if x in names else -1 for x in batch.column("label").to_pylist()], np.int64)
-            mean = np.bincount(row, weights=table[bucket, own[row]], minlength=batch.num_rows) / np.maximum(n, 1)
-            for i in np.unique(own[(n > 0) & (own >= 0)]):
+            own = np.array([number.get(x, 0) for x in batch.column("label").to_pylist()], np.int64)
+            _, spot, times = np.unique(row * BUCKETS + bucket, return_inverse=True, return_counts=True)
+            left = np.maximum(table[bucket, own[row]] - times[spot], 0.5)
+            logs = np.log(left / np.maximum(whole[own] - n, BUCKETS / 2)[row])
+            mean = np.bincount(row, weights=logs, minlength=batch.num_rows) / np.maximum(n, 1)
+            for i in np.unique(own[n > 0]):
                 x = mean[(n > 0) & (own == i)]
                 yield pa.RecordBatch.from_pydict({"i": [int(i)], "n": [len(x)], "sum": [float(x.sum())], "squares": [float((x * x).sum())]})
 
@@ -103,17 +108,15 @@ def fit_rows(model):
 
 def floors(rows: DataFrame, counts: pd.DataFrame, names: list[str], table: np.ndarray) -> np.ndarray:
     """For every language the middle to the next one, and the mean and the deviations of its rows and of its trigrams."""
-    found = rows.mapInArrow(fit_rows((names, table)), "i long, n long, sum double, squares double").groupBy("i")
+    found = rows.mapInArrow(fit_rows(names, table), "i long, n long, sum double, squares double").groupBy("i")
     found = {r["i"]: r for r in found.agg(*[F.sum(c).alias(c) for c in ("n", "sum", "squares")]).collect()}
-    out = np.zeros((len(names), 4))
-    for i, name in enumerate(names):
-        mine = counts[counts["label"] == name]
-        n, own = mine["n"].to_numpy(float), table[mine["bucket"].to_numpy()].astype(float)
+    logs, out = np.log(table / table.sum(0)), np.zeros((len(names), 4))
+    for i, (_, mine) in enumerate(counts.groupby("label", sort=True)):
+        n, own = mine["n"].to_numpy(float), logs[mine["bucket"].to_numpy()]
         by = n @ own / n.sum()
-        other = max([UNIFORM, *np.delete(by, i)])
         mean = found[i]["sum"] / found[i]["n"]
         rows_sd = max(found[i]["squares"] / found[i]["n"] - mean * mean, 0.0) ** 0.5
-        out[i] = (by[i] + other) / 2, mean, rows_sd, (n @ (own[:, i] - by[i]) ** 2 / n.sum()) ** 0.5
+        out[i] = (mean + max([UNIFORM, *np.delete(by, i)])) / 2, mean, rows_sd, (n @ (own[:, i] - by[i]) ** 2 / n.sum()) ** 0.5
     return out
 
 
@@ -124,23 +127,29 @@ def fits(mean: np.ndarray, n: np.ndarray, floor: np.ndarray) -> np.ndarray:
     return mean >= np.maximum(np.minimum(middle, least), UNIFORM)
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows at most, chosen by hash, and of each label as many at most."""
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    most = sample / max(len(sizes), 1)
+    if all(r["n"] <= most for r in sizes):
+        return rows
+    rates = rows.sparkSession.createDataFrame([(r["label"], int(DRAWS * min(1.0, most / r["n"]))) for r in sizes], "_label string, _rate long")
+    drawn = (rows["label"] == rates["_label"]) & (F.pmod(F.xxhash64("text"), F.lit(DRAWS)) < rates["_rate"])
+    return rows.join(F.broadcast(rates), drawn).select("label", "text")
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE):
     """Languages, log probabilities of the buckets and floors, from a sample of about ``sample`` rows chosen by hash."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isNotNull())
     short_batches(labelled.sparkSession)
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    rows = keep(sampled(rows, sample), "language-sample")
     counts = rows.mapInArrow(count_rows, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts = counts.toPandas()  # languages of a bounded sample times buckets
-    total = counts.groupby("label")["n"].sum()
-    names = sorted(total.index[total >= LEAST_SHARE * total.sum()])
+    names = sorted(counts["label"].unique())
     table = np.full((BUCKETS, len(names)), 0.5)
-    for i, name in enumerate(names):
-        mine = counts[counts["label"] == name]
+    for i, (_, mine) in enumerate(counts.groupby("label", sort=True)):
         table[mine["bucket"].to_numpy(), i] += mine["n"].to_numpy()
-    table = np.log(table / table.sum(0)).astype(np.float32)
-    return names, table, floors(rows, counts, names, table)
+    return names, np.log(table / table.sum(0)).astype(np.float32), floors(rows, counts, names, table)
 
 
 def evidence(model) -> callable:

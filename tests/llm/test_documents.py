@@ -321,6 +321,21 @@ def test_text_in_none_of_the_languages_is_rejected(spark):
     assert kept == collections.Counter(i for i, _, _ in clean)
 
 
+@pytest.mark.parametrize("sample", [language.SAMPLE, 200])
+def test_rare_languages_are_learned(spark, sample):
+    """Here under 0.2% of the trigrams; also when only part of the rows is learned from."""
+    rng = random.Random(4)
+    rows = [(i, spoken(rng, SPEECH[lang], 120), lang) for i in range(400) for lang in SPEECH]
+    rows += [(5000 + i, spoken(rng, FOREIGN["fi"], 12), "fi") for i in range(15)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=sample)
+    assert model[0] == ["de", "en", "fi", "fr"]
+    docs = [(i, spoken(rng, FOREIGN["fi"] if i % 2 else SPEECH["en"], 30), None, None) for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    null = F.lit(None).cast("string")
+    out = language.identify(docs, model, F.col("text"), null, null, null).collect()
+    assert all(r["__accepted"] and r["__language"] == ("fi" if r["doc_id"] % 2 else "en") for r in out)
+
+
 def test_host_prior_decides_where_the_text_cannot(spark):
     labelled = spark.createDataFrame([(1, "abc abc abc", "aa"), (2, "abc abc abd", "bb")] * 20, "doc_id long, text string, lang string")
     model = language.train(labelled)
