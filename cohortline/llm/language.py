@@ -3,7 +3,7 @@
 The posterior of a language is proportional to the product of
 
 - the text's likelihood under character trigrams (hashed to ``BUCKETS`` buckets, add-half smoothing),
-  learned from a sample of at most about ``SAMPLE`` labelled rows, as many of each label at most, so that
+  learned from a sample of at most about ``SAMPLE`` distinct labelled texts, as many of each label at most, so that
   rare labels are learned as well and none is left out; long texts count as ``EVIDENCE`` trigrams,
   as neighbouring trigrams are not independent;
 - the declared language of the markup, right with probability ``DECLARED`` where it is known;
@@ -128,18 +128,16 @@ def fits(mean: np.ndarray, n: np.ndarray, floor: np.ndarray) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` rows at most, chosen by hash, and of each label as many at most."""
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    """About ``sample`` rows at most, chosen by hash among the distinct texts of each label, and of each label as many at most."""
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
     most = sample / max(len(sizes), 1)
-    if all(r["n"] <= most for r in sizes):
-        return rows
-    rates = rows.sparkSession.createDataFrame([(r["label"], int(DRAWS * min(1.0, most / r["n"]))) for r in sizes], "_label string, _rate long")
+    rates = rows.sparkSession.createDataFrame([(r["label"], int(DRAWS * min(1.0, most / max(r["n"], 1)))) for r in sizes], "_label string, _rate long")
     drawn = (rows["label"] == rates["_label"]) & (F.pmod(F.xxhash64("text"), F.lit(DRAWS)) < rates["_rate"])
-    return rows.join(F.broadcast(rates), drawn).select("label", "text")
+    return rows.join(F.broadcast(rates), drawn).select("label", "text").dropDuplicates()
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE):
-    """Languages, log probabilities of the buckets and floors, from a sample of about ``sample`` rows chosen by hash."""
+    """Languages, log probabilities of the buckets and floors, from a sample of at most about ``sample`` distinct texts."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isNotNull())
     short_batches(labelled.sparkSession)
     rows = keep(sampled(rows, sample), "language-sample")

@@ -336,6 +336,14 @@ def test_rare_languages_are_learned(spark, sample):
     assert all(r["__accepted"] and r["__language"] == ("fi" if r["doc_id"] % 2 else "en") for r in out)
 
 
+def test_language_sample_holds_copies_once(spark):
+    """Whatever text a third of the rows shares."""
+    for hot in range(8):
+        rows = [("en", f"text {i}") for i in range(2000)] + [("en", f"copy {hot}")] * 1000
+        rows = language.sampled(spark.createDataFrame(rows, "label string, text string"), 200).collect()
+        assert 100 <= len(rows) <= 300 and len(set(rows)) == len(rows)
+
+
 def test_host_prior_decides_where_the_text_cannot(spark):
     labelled = spark.createDataFrame([(1, "abc abc abc", "aa"), (2, "abc abc abd", "bb")] * 20, "doc_id long, text string, lang string")
     model = language.train(labelled)
