@@ -15,8 +15,8 @@ A row is accepted if its text has letters, its best language has a posterior of
 ``CERTAIN`` and its text fits that language.  The mean log likelihood of its trigrams fits unless
 it is below that of none of these languages, for which every bucket is as likely, or
 
-- below the middle between the labelled rows of the language and what they get from the best
-  other language, the stand-in for a language without labels, and also
+- nearer to what the labelled rows of the language get from the best other language, the stand-in
+  for a language without labels, than a text with ``PART`` of its trigrams in the language, and also
 - below nearly all labelled rows of the language: ``SPREAD`` standard deviations under their mean,
   the deviation being that of whole rows and, for short texts, of single trigrams.
 
@@ -44,6 +44,7 @@ EVIDENCE = 200
 DECLARED = 0.9
 STRENGTH = 20.0
 CERTAIN = 0.5
+PART = 0.25  # texts of several languages stay
 SPREAD = 4.0
 DRAWS = 1 << 40
 UNIFORM = -float(np.log(BUCKETS))
@@ -107,7 +108,7 @@ def fit_rows(names: list[str], table: np.ndarray):
 
 
 def floors(rows: DataFrame, counts: pd.DataFrame, names: list[str], table: np.ndarray) -> np.ndarray:
-    """For every language the middle to the next one, and the mean and the deviations of its rows and of its trigrams."""
+    """For every language the level of texts partly in it, and the mean and the deviations of its rows and of its trigrams."""
     found = rows.mapInArrow(fit_rows(names, table), "i long, n long, sum double, squares double").groupBy("i")
     found = {r["i"]: r for r in found.agg(*[F.sum(c).alias(c) for c in ("n", "sum", "squares")]).collect()}
     logs, out = np.log(table / table.sum(0)), np.zeros((len(names), 4))
@@ -116,15 +117,15 @@ def floors(rows: DataFrame, counts: pd.DataFrame, names: list[str], table: np.nd
         by = n @ own / n.sum()
         mean = found[i]["sum"] / found[i]["n"]
         rows_sd = max(found[i]["squares"] / found[i]["n"] - mean * mean, 0.0) ** 0.5
-        out[i] = (mean + max([UNIFORM, *np.delete(by, i)])) / 2, mean, rows_sd, (n @ (own[:, i] - by[i]) ** 2 / n.sum()) ** 0.5
+        out[i] = PART * mean + (1 - PART) * max([UNIFORM, *np.delete(by, i)]), mean, rows_sd, (n @ (own[:, i] - by[i]) ** 2 / n.sum()) ** 0.5
     return out
 
 
 def fits(mean: np.ndarray, n: np.ndarray, floor: np.ndarray) -> np.ndarray:
     """Whether texts of ``n`` trigrams with these means, a column for each language, are in the language."""
-    middle, usual, rows_sd, sd = floor.T
+    partly, usual, rows_sd, sd = floor.T
     least = usual - SPREAD * np.sqrt(rows_sd**2 + sd**2 / np.clip(n, 1, EVIDENCE)[:, None])
-    return mean >= np.maximum(np.minimum(middle, least), UNIFORM)
+    return mean >= np.maximum(np.minimum(partly, least), UNIFORM)
 
 
 def sampled(rows: DataFrame, sample: int) -> DataFrame:
