@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 from pyspark.sql import types as T
 
+TESTDATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 KINDS = {

@@ -1,8 +1,7 @@
 """Every registered query against the same question in SQL."""
 
 import pytest
-from compare import connect, differences
-from conftest import TESTDATA
+from compare import TESTDATA, connect, differences
 
 import __spark_entry__ as contract
 from cohortline.entries import ENTRIES
