@@ -16,16 +16,19 @@ GAP_REGEX = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is named."""
+    """The folder the cluster shares (``spark.checkpoint.dir``); a temporary one only in a local session, where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new place in this application's part of the shared folder, which ``cohortline.session.forget`` deletes."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import ann, chat, decontaminate, language, lm_score, mixing, near_dup, oracles, pii, substrings, token_counts
-
+from cohortline.llm import align, ann, chat, decontaminate, fim, language, line_dedup, lm_score, mixing, near_dup, oracles, pii, substrings, token_counts
 from cohortline.llm.common import keep, new_path
 
 
@@ -64,9 +62,25 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark, sf_dir):
+    out = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def op12_alignment(spark, sf_dir):
+    return align.link_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def pipeline(spark, sf_dir):
+    import corpus_pipeline  # the stages are one file at the top of the repository
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
-LLM_ENTRIES = {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_decontamination, op4_mixing, op5_token_counts, op6_chat, op7_nearest, op8_substring_dedup, op9_language_id, op10_lm_scoring, pipeline)}
-LLM_SQL = {"op2_pii": oracles.PII, "op3_decontamination": oracles.LEAKS, "op8_substring_dedup": oracles.REPEATS}
+LLM_ENTRIES = {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_decontamination, op4_mixing, op5_token_counts, op6_chat, op7_nearest, op8_substring_dedup, op9_language_id, op10_lm_scoring, op11_fim, op12_alignment, op13_line_dedup, pipeline)}
+LLM_SQL = {"op2_pii": oracles.PII, "op3_decontamination": oracles.LEAKS, "op8_substring_dedup": oracles.REPEATS, "op11_fim": oracles.MIDDLES, "op13_line_dedup": oracles.LINES}

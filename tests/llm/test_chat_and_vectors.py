@@ -95,7 +95,7 @@ def test_pruning_keeps_diverse_neighbours():
 
 def test_native_operators_run_no_python(spark):
     import __spark_entry__ as contract
-    from conftest_paths import TESTDATA
+    from compare import TESTDATA
 
     for name in ("op2_pii", "op3_decontamination"):
         plan = contract.queries()[name](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ import re
 import zlib
 
 import pytest
-from helpers import SCHEMA, WORD, jaccard, shingles, table, texts
+from llm_helpers import SCHEMA, WORD, jaccard, shingles, table, texts
 from pyspark.sql import functions as F
 
 from cohortline.llm import decontaminate, language, lm_score, mixing, near_dup, pii, substrings, token_counts

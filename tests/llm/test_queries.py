@@ -5,8 +5,8 @@ import sys
 
 import duckdb
 import pytest
-from conftest_paths import TESTDATA
-from helpers import WORD, jaccard, shingles
+from compare import TESTDATA
+from llm_helpers import WORD, jaccard, shingles
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
