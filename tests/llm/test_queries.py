@@ -3,9 +3,8 @@
 import os
 import sys
 
-import duckdb
 import pytest
-from compare import TESTDATA
+from compare import TESTDATA, connect, differences
 from llm_helpers import WORD, jaccard, shingles
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -16,15 +15,7 @@ from cohortline.llm.entries import LLM_ENTRIES, LLM_SQL
 
 @pytest.mark.parametrize("name", sorted(LLM_SQL))
 def test_matches_sql(spark, name):
-    con = duckdb.connect()
-    for table in ("documents", "benchmark"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TESTDATA}/{table}.parquet'")
-    theirs = con.sql(LLM_SQL[name]).df()
-    ours = LLM_ENTRIES[name](spark, TESTDATA).toPandas()
-    cols = sorted(theirs.columns)
-    assert sorted(ours.columns) == cols
-    order = lambda df: df[cols].sort_values(cols).reset_index(drop=True)
-    assert order(ours).equals(order(theirs))
+    assert differences(LLM_ENTRIES[name](spark, TESTDATA), connect(TESTDATA), LLM_SQL[name]) == []
 
 
 def test_nearest_recall(spark):
