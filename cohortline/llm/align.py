@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import keep, pieces
+from cohortline.llm.common import keep, pieces, top_level
 
 FOLDER = "/opt/tokenizers"
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -264,22 +264,11 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
     return keep(counts.withColumn("a", a).join(F.broadcast(most), "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair-counts")
 
 
-def split_level(counts: DataFrame, frequent: int) -> int | None:
-    """The lowest power of two that at most ``frequent`` pairs reach."""
-    histogram = counts.groupBy(F.floor(F.log2("docs")).alias("level")).agg(F.count(F.lit(1)).alias("pairs")).collect()
-    level, held = None, 0
-    for r in sorted(histogram, key=lambda r: -r["level"]):
-        if held + r["pairs"] > frequent:
-            break
-        held, level = held + r["pairs"], int(r["level"])
-    return level
-
-
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and ``groups_sha256`` of every row."""
     encoded = encode(docs, id_col, text_col, folder)
     counts = pair_counts(encoded)
-    level = split_level(counts, frequent)
+    level = top_level(counts, "docs", frequent)
     table = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if level is not None:
         often = counts.where(F.col("docs") >= 2**level).toArrow()

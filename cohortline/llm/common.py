@@ -50,6 +50,17 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def top_level(counts: DataFrame, n_col: str, most: int) -> int | None:
+    """The lowest power of two that at most ``most`` of the counts reach, as its exponent; None if none does."""
+    histogram = counts.groupBy(F.floor(F.log2(n_col)).alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()  # 63 rows at most
+    level, held = None, 0
+    for r in sorted(histogram, key=lambda r: -r["level"]):
+        if held + r["rows"] > most:
+            break
+        held, level = held + r["rows"], int(r["level"])
+    return level
+
+
 # --- batches of text -------------------------------------------------------------------
 
 

@@ -33,13 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import flat, keep, pieces, small
+from cohortline.llm.common import flat, keep, pieces, top_level
 
 LEAST = 10
 BITS = 12  # of a filter, per line
 MOST_BITS = 1 << 30
 SEGMENT = 1 << 13  # words
-MOST_CONFIRMED = 1 << 18  # rows of a broadcast: 48 bytes each
+MOST_OFTEN = 1 << 16  # rows of a broadcast: 48 bytes each
+LAST = (1 << 63) - 1
 GAP = b" \t\n\x0b\x0c\r"
 
 
@@ -188,25 +189,29 @@ def cut_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_lines"), *new], ["id", "n_lines", "n_dropped", "kept"])
 
 
-def dropped_lines(probed: DataFrame, most_confirmed: int = MOST_CONFIRMED) -> DataFrame:
+def dropped_lines(probed: DataFrame, most_often: int = MOST_OFTEN) -> DataFrame:
     """(row, gone): the numbers of the lines that an earlier document holds, per row that loses any."""
     held = probed.where(F.size("suspects") > 0).select("row", "id", F.explode("suspects").alias("s")).select("row", "id", "s.digest", "s.lines")
-    confirmed = held.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("unknown"))
-    confirmed = keep(confirmed.where("first != last OR (first IS NOT NULL AND unknown)").select("digest", "first"), "repeated-lines")
-    late = held.join(small(confirmed, confirmed.count(), most_confirmed), "digest").where("id IS NULL OR id != first")
+    repeated = held.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or(F.col("id").isNull()).alias("unknown"), F.count(F.lit(1)).alias("rows"))
+    repeated = keep(repeated.where("first != last OR (first IS NOT NULL AND unknown)").select("digest", "first", "rows"), "repeated-lines")
+    # the lines that most texts hold, a bounded number, are broadcast; the others are in few texts each and join by sorting
+    level = top_level(repeated, "rows", most_often)
+    often = repeated.where(F.col("rows") >= (2**level if level is not None else LAST))
+    seldom = repeated.where(F.col("rows") < (2**level if level is not None else LAST))
+    late = held.join(F.broadcast(often), "digest").unionByName(held.join(seldom.hint("merge"), "digest")).where("id IS NULL OR id != first")
     return late.groupBy("row").agg(F.flatten(F.collect_list("lines")).alias("gone"))  # at most the lines of one text
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most_bits: int = MOST_BITS, most_confirmed: int = MOST_CONFIRMED) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most_bits: int = MOST_BITS, most_often: int = MOST_OFTEN) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_dropped``, ``kept`` (the text that stays; null where nothing goes) and ``kept_sha256`` of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(suspects(docs, text_col, least, most_bits))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     probed = keep(rows.mapInArrow(probe_rows(shared, least), PROBED), "lines")
-    gone = keep(dropped_lines(probed, most_confirmed), "dropped-lines")
+    gone = keep(dropped_lines(probed, most_often), "dropped-lines")
     texts = probed.where("text IS NOT NULL").select("row", "id", "n_lines", "text")
-    cut = texts.join(gone, "row").select("id", "n_lines", "text", "gone").mapInArrow(cut_rows, "id long, n_lines long, n_dropped long, kept string")
+    cut = texts.join(gone.hint("merge"), "row").select("id", "n_lines", "text", "gone").mapInArrow(cut_rows, "id long, n_lines long, n_dropped long, kept string")
     cut = cut.select("id", "n_lines", "n_dropped", "kept", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    whole = probed.select("row", "id", "n_lines", "whole").join(gone.select("row"), "row", "left_anti")
+    whole = probed.select("row", "id", "n_lines", "whole").join(gone.select("row").hint("merge"), "row", "left_anti")
     whole = whole.select("id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.lit(None).cast("string").alias("kept"), F.col("whole").alias("kept_sha256"))
     return cut.unionAll(whole).withColumnRenamed("id", "doc_id")

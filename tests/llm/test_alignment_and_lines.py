@@ -183,11 +183,11 @@ def line_rows():
     return rows + [(1000, "\n"), (1001, "\n\n\n"), (1002, "Straße zehn\n" * 3000), (-9, "straße zehn")]
 
 
-@pytest.mark.parametrize("most_bits, most_confirmed", [(line_dedup.MOST_BITS, line_dedup.MOST_CONFIRMED), (64, 0)])
-def test_lines_match_brute_force(spark, most_bits, most_confirmed):
+@pytest.mark.parametrize("most_bits, most_often", [(line_dedup.MOST_BITS, line_dedup.MOST_OFTEN), (64, 0)])
+def test_lines_match_brute_force(spark, most_bits, most_often):
     """Whole filters, and one word that suspects everything; lookups broadcast or joined."""
     rows = line_rows()
-    got = line_dedup.drop_repeats(table(spark, rows), most_bits=most_bits, most_confirmed=most_confirmed).collect()
+    got = line_dedup.drop_repeats(table(spark, rows), most_bits=most_bits, most_often=most_often).collect()
     order = lambda x: sorted(x, key=repr)
     assert order((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got) == order(lines_dropped(rows))
     assert all(r["kept"] is None or sha(r["kept"]) == r["kept_sha256"] for r in got) and sum(r["n_dropped"] for r in got) > 500
