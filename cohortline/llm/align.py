@@ -24,6 +24,7 @@ encoded whole.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -35,6 +36,8 @@ from cohortline.llm.common import keep, pieces, top_level
 
 FOLDER = "/opt/tokenizers"
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
+# Fixed value: how the byte-level tokenizer cuts a text before it merges.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = 1 << 16
 FREQUENT = 1 << 20  # rows of a broadcast: 17 bytes each
 BLOCK = 1 << 20  # links expanded at a time
@@ -73,24 +76,40 @@ class Side:
         return bool(np.array_equal(self.data[np.arange(len(text)) + np.repeat(self.starts[ids] - (ends - sizes), sizes)], text))
 
 
+def byte_side(path: str) -> Side:
+    """The byte-level tokenizer of a file: its vocabulary and merges, run as ranks.
+
+    Where merges stand in the order of the ids they make, which is checked, the merge of
+    lowest rank is the one that makes the lowest id, and a table of ids is all there is to know.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters, vocabulary = byte_letters(), model["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made):
+        raise ValueError(f"the merges of {path} are not in the order of their ids")
+    tokens = [t.encode() for t in sorted(vocabulary, key=vocabulary.get)]
+    ranks = {}
+    for i in {*made, *(vocabulary[c] for c in letters)}:
+        tokens[i] = bytes(letters[c] for c in tokens[i].decode())
+        ranks[tokens[i]] = i
+    model = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    return Side(lambda texts: [model.encode_ordinary(" " + t) for t in texts], tokens)
+
+
+def piece_side(path: str) -> Side:
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return Side(lambda texts: model.encode(texts, num_threads=1), [piece_bytes(model.id_to_piece(i)) for i in range(model.get_piece_size())])
+
+
 def load(folder: str) -> tuple[Side, Side]:
     """Both tokenizers, once for each Python worker."""
     if folder not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        first = Tokenizer.from_file(os.path.join(folder, BYTE_MODEL))
-        first.encode_special_tokens = True
-        letters = byte_letters()
-        entries = {i: t for t, i in first.get_vocab(with_added_tokens=True).items()}
-        tokens = [bytes(letters[c] for c in entries[i]) if all(c in letters for c in entries[i]) else entries[i].encode() for i in range(max(entries) + 1)]
-        second = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, PIECE_MODEL))
-        pieces_ = [piece_bytes(second.id_to_piece(i)) for i in range(second.get_piece_size())]
-        _loaded[folder] = (
-            Side(lambda texts: [e.ids for e in first.encode_batch([" " + t for t in texts], add_special_tokens=False)], tokens),
-            Side(lambda texts: second.encode(texts, num_threads=1), pieces_),
-        )
+        _loaded[folder] = byte_side(os.path.join(folder, BYTE_MODEL)), piece_side(os.path.join(folder, PIECE_MODEL))
     return _loaded[folder]
 
 

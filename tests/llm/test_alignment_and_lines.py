@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from compare import TESTDATA
 from llm_helpers import sentence, table, texts
 
 from cohortline.llm import align, fim, line_dedup
@@ -118,6 +119,20 @@ def test_alignment_matches_brute_force(spark, frequent):
     assert sum(r["n_a"] for r in got) > 5000
 
 
+def test_ids_are_those_of_the_vocabulary_files(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(f"{align.FOLDER}/{align.BYTE_MODEL}")
+    model.encode_special_tokens = True
+    held = [t for _, t in texts() + AWKWARD if t] + [r["text"] for r in spark.read.parquet(f"{TESTDATA}/documents.parquet").collect()]
+    a, _ = align.load(align.FOLDER)
+    assert a.encode(held) == [e.ids for e in model.encode_batch([" " + t for t in held], add_special_tokens=False)]
+    entries = {i: t for t, i in model.get_vocab(with_added_tokens=False).items()}
+    letters = align.byte_letters()
+    for i in range(0, 50_256, 7):
+        assert a.data[a.starts[i] : a.starts[i + 1]].tobytes() == bytes(letters[c] for c in entries[i])
+
+
 def test_alignment_of_an_empty_table(spark):
     assert align.link_counts(table(spark).limit(0)).count() == 0
 
