@@ -21,8 +21,8 @@ from cohortline.plans import reports as R
 from cohortline.plans.degree import start_ids
 from cohortline.plans.recommend import with_questions
 from cohortline.plans.survey import RULE_KEYS, skill_answers
-from cohortline.session import configure, keep
-from cohortline.sources import table_from
+from cohortline.session import configure, keep, new_folder
+from cohortline.sources import StageStore, table_from
 
 SINCE = date(1996, 1, 1)
 AS_OF = date(2001, 1, 1)
@@ -158,7 +158,9 @@ class Inputs:
     def __init__(self, spark, folder):
         self.spark = configure(spark)
         self.tables = {t: table_from(spark, folder, t) for t in ("orders", "customer", "lineitem", "part")}
-        self.stages = {}
+        self.stages, self.folder = {}, folder
+        place = new_folder(spark, "stages")
+        self.store = StageStore(spark, place) if place else None
 
     def __getattr__(self, name):
         text = INPUTS[name].replace('"end"', "`end`")
@@ -167,14 +169,20 @@ class Inputs:
     def take(self, *names):
         return [getattr(self, n) for n in names]
 
-    def stage(self, build):
-        """A stage as a written table, for several readers."""
-        if build not in self.stages:
-            self.stages[build] = keep(build(self), build.__name__)
-        return self.stages[build]
+    def stage(self, *builds):
+        """Stages as published tables of this run's store, for several readers; they are built side by side."""
+        for build in builds:
+            if build not in self.stages and self.store is None:
+                self.stages[build] = build(self)
+        new = {b.__name__: b for b in builds if b not in self.stages}
+        if new:
+            made = self.store.stages({name: (lambda b=b: b(self), {"tables": self.folder}) for name, b in new.items()})
+            self.stages.update({b: made[name] for name, b in new.items()})
+        found = [self.stages[b] for b in builds]
+        return found[0] if len(found) == 1 else found
 
     def shared(self, build):
-        """The written table where there is one, else the stage itself."""
+        """The published table where there is one, else the stage itself."""
         return self.stages[build] if build in self.stages else build(self)
 
 
@@ -220,8 +228,7 @@ def degree_start(i):
 
 
 def degree_success(i):
-    heavy = heavy_by_key(i.student_month, ("student_key", "student_id"))
-    return plans.build_degree_success(*i.take("student_month", "student_drop", "term_progress"), since=SINCE, heavy=heavy)
+    return plans.build_degree_success(*i.take("student_month", "student_drop", "term_progress"), since=SINCE)
 
 
 def questions(i):
@@ -230,16 +237,17 @@ def questions(i):
 
 
 def cohort_account(i):
-    """Only frames that are read several times are written: the accounts here, two narrow ones in the builder."""
+    """Every stage is published once, then read; the builder writes two narrow frames."""
+    accounts, apps, advice, starts, entered, success = i.stage(account, app, recommend, degree_start, onramp, degree_success)
     return plans.build_cohort_account(
-        i.stage(account),
-        app(i),
-        recommend(i),
-        degree_start(i),
-        onramp(i),
+        accounts,
+        apps,
+        advice,
+        starts,
+        entered,
         i.student_transcript,
         i.field_history,
-        degree_success(i),
+        success,
         i.transcript_summary,
         ZONE,
         heavy=merge_heavy(heavy_by_key(i.status_feed, "lead_id"), heavy_by_key(i.student_month, "student_key")),
@@ -248,7 +256,7 @@ def cohort_account(i):
 
 
 def cohort_inquiry(i):
-    return plans.build_cohort_inquiry(i.stage(inquiry), recommend(i), degree_start(i), heavy_by_key(i.id_match, "lead_id"))
+    return plans.build_cohort_inquiry(*i.stage(inquiry, recommend, degree_start), heavy_by_key(i.id_match, "lead_id"))
 
 
 def demo_sql(source: str, day: str) -> str:

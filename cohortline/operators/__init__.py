@@ -49,6 +49,7 @@ from cohortline.operators.stages import (
     stamp_refresh,
     with_stage,
 )
+from cohortline.operators.timeline import Mark, Pick, dated, firsts
 from cohortline.operators.survey import (
     apply_rules,
     attach_responses,

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import flag, keep_listed, month_end
 from cohortline.operators.attrition import attrition_attach, attrition_events, attrition_unique
-from cohortline.operators.dedupe import dedupe_first
-from cohortline.operators.asof import asof_forward_first
-from cohortline.operators.history import retention_at, term_metrics
+from cohortline.operators.history import term_metrics
 from cohortline.operators.stages import with_stage
+from cohortline.operators.timeline import Mark, Pick, dated, firsts
 from cohortline.plans.leads import program_groups
 
 # Graduate programs start with this letter, but for one; on-ramp stage
@@ -89,43 +88,73 @@ def build_degree_success(
     term_progress: DataFrame,
     since: date,
     level: str = "UG",
-    heavy: Mapping[str, Sequence[int]] = MappingProxyType({}),
 ) -> DataFrame:
     """One row per student: graduation, first drop, retention and per-term figures.
 
-    ``heavy`` may name heavy pairs of student_key and student_id.
+    All that is dated about a student is one timeline: one read of the monthly rows, one
+    of the drops.  Heavy
+    students need no list: their rows are combined by kind and day before they shuffle.
     """
     keys = ["student_key", "student_id"]
-    hot = heavy.get(",".join(keys), ())
-    started = student_month.where((F.col("level") == level) & (F.col("faa_date") >= F.lit(since)) & (F.col("new_start") == 1)).select(
-        *keys, "faa_date", F.col("college").alias("college_faa"), F.col("level").alias("level_faa"), F.col("program").alias("program_faa")
+    recent = F.coalesce(F.col("faa_date") >= F.lit(since), F.lit(False))
+    types = {"s1": "string", "s2": "string", "n1": "int", "n2": "int"}
+    monthly = dated(
+        student_month,
+        keys,
+        {
+            "start": Mark((F.col("level") == level) & recent & (F.col("new_start") == 1), "faa_date", {"s1": "college", "s2": "program"}),
+            "grad": Mark(F.col("grad") == 1, "month_end"),
+            "ret7": Mark(F.col("ret7").isNotNull(), "month_end", {"n1": "ret7"}),
+            "ret13": Mark(F.col("ret13").isNotNull(), "month_end", {"n1": "ret13"}),
+            "otp": Mark(
+                recent & (F.col("faa_date") < F.col("month_end")), "faa_date", {f"n{t}": F.when(F.col("term_seq") == t, F.col("term_otp")) for t in (1, 2)}
+            ),
+        },
+        types,
     )
-    # the first start is also the smallest anchor, so lookups begin at these narrow rows
-    anchors = started.select(*keys, "faa_date")
-    out = dedupe_first(started, keys, "faa_date", ["college_faa", "program_faa"]).withColumn("faa_month", F.trunc("faa_date", "month").cast("date"))
-
-    grads = student_month.where(F.col("grad") == 1).select(*keys, F.col("month_end").alias("grad_date"))
-    out = with_stage(out, asof_forward_first(anchors, grads, keys, "faa_date", "grad_date", strict=True, heavy=hot), keys, "grad_flag")
-
-    kinds = ["drop_t1_flag", "drop_t2_flag"]
-    drops = student_drop.select(
+    drop_fields = {"s1": "drop_type", "s2": "drop_sub_type", "n1": flag(F.col("term_seq") == 1), "n2": flag(F.col("term_seq") == 2)}
+    drops = dated(student_drop, keys, {"drop": Mark(F.lit(True), "month_end", drop_fields)}, types)
+    found = firsts(
+        monthly.unionByName(drops),
+        keys,
+        "start",
+        {
+            "start": Pick(["s1", "s2"], after_anchor=False),
+            "grad": Pick(),
+            "drop": Pick(["s1", "s2", "n1", "n2"]),
+            "ret7": Pick(["n1"]),
+            "ret13": Pick(["n1"]),
+            "otp": Pick(["n1", "n2"], after_anchor=False, most=True),
+        },
+    )
+    of = lambda kind, name: F.col(kind)[name]
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = found.select(
         *keys,
-        F.col("month_end").alias("drop_date"),
-        "drop_type",
-        "drop_sub_type",
-        flag(F.col("term_seq") == 1).alias("drop_t1_flag"),
-        flag(F.col("term_seq") == 2).alias("drop_t2_flag"),
+        of("start", "day").alias("faa_date"),
+        of("start", "s1").alias("college_faa"),
+        F.lit(level).alias("level_faa"),
+        of("start", "s2").alias("program_faa"),
+        F.trunc(of("start", "day"), "month").cast("date").alias("faa_month"),
+        of("grad", "day").alias("grad_date"),
+        flag(F.col("grad").isNotNull()).alias("grad_flag"),
+        of("drop", "day").alias("drop_date"),
+        of("drop", "s1").alias("drop_type"),
+        of("drop", "s2").alias("drop_sub_type"),
+        zero(of("drop", "n1")).alias("drop_t1_flag"),
+        zero(of("drop", "n2")).alias("drop_t2_flag"),
+        flag(F.col("drop").isNotNull()).alias("drop_flag"),
+        of("ret7", "day").alias("r7_date"),
+        of("ret7", "n1").alias("ret7"),
+        of("ret13", "day").alias("r13_date"),
+        of("ret13", "n1").alias("ret13"),
+        of("otp", "n1").alias("t1_otp"),
+        of("otp", "n2").alias("t2_otp"),
     )
-    dropped = asof_forward_first(anchors, drops, keys, "faa_date", "drop_date", strict=True, tie=["drop_type", "drop_sub_type", *kinds], heavy=hot)
-    out = with_stage(out, dropped, keys, "drop_flag", kinds)
-    out = retention_at(out, student_month, keys, "faa_date", "month_end", {"ret7": "r7", "ret13": "r13"}, anchors=anchors, heavy=hot)
 
-    in_term = student_month.where(F.col("term_seq").isin(1, 2) & (F.col("faa_date") >= F.lit(since))).select("student_id", "term_seq").distinct()
+    in_term = student_month.where(F.col("term_seq").isin(1, 2) & recent).select("student_id", "term_seq").distinct()
     # one row per student and term first, so that the semi join meets no long runs of one key
     best = term_progress.groupBy("student_id", "term_seq").agg(F.max("limited_progress").alias("limited_progress"), F.max("earned_cus").alias("earned_cus"))
     progress = best.join(in_term, ["student_id", "term_seq"], "left_semi")
     units = term_metrics(progress, "student_id", "term_seq", {"limited_progress": "limit_prog_t{t}", "earned_cus": "earned_cus_t{t}"})
-    out = with_stage(out, units.withColumns({f"earned_cus_t{t}": F.col(f"earned_cus_t{t}").cast("int") for t in (1, 2)}), "student_id")
-    otp = student_month.where((F.col("faa_date") >= F.lit(since)) & (F.col("faa_date") < F.col("month_end")))
-    per_start = term_metrics(otp, [*keys, "faa_date"], "term_seq", {"term_otp": "t{t}_otp"})
-    return with_stage(out, dedupe_first(per_start, keys, "faa_date").drop("faa_date"), keys)
+    return with_stage(out, units.withColumns({f"earned_cus_t{t}": F.col(f"earned_cus_t{t}").cast("int") for t in (1, 2)}), "student_id")

@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str | None:
+    """A new place in this application's part of the shared folder, if there is one; ``forget`` deletes it."""
+    folder = shared_folder(spark)
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}" if folder else None
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several later steps read, and read it back.
 
@@ -39,10 +45,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     lazy, which costs time but changes nothing else.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not folder:
+    path = new_folder(spark, name)
+    if not path:
         return df
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,14 +32,36 @@ def overwrite_table(df: DataFrame, name: str, schema: str = "replace", fmt: str
     if fmt == "delta":  # replaces the table in one commit
         writer.mode("overwrite").option("overwriteSchema" if schema == "replace" else "mergeSchema", "true").saveAsTable(name)
         return
-    # the old table goes only when the new one is whole
-    fresh = f"{name}__fresh"
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+    # the old table steps aside when the new one is whole, and goes when that stands in its place
+    fresh, old = f"{name}__fresh", f"{name}__old"
+    for left in (fresh, old):
+        spark.sql(f"DROP TABLE IF EXISTS {left}")
     writer.saveAsTable(fresh)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    except Exception:
+        if spark.catalog.tableExists(old):
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def overwrite_partitioned(df: DataFrame, name: str, path: str, by: str, fmt: str = "parquet") -> None:
     """Rewrite an external table partitioned by a period column."""
     df.hint("rebalance", by).write.format(fmt).mode("overwrite").partitionBy(by).option("path", path).saveAsTable(name)
+
+
+def refresh_partitions(df: DataFrame, name: str, by: str) -> None:
+    """Replace the periods of a partitioned table that ``df`` holds; all others keep their files.
+
+    The new files are staged and moved in when every task has succeeded (dynamic
+    partition overwrite), so a failed refresh leaves the old periods readable.
+    """
+    spark = df.sparkSession
+    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    rows = df.select(*spark.read.table(name).columns).hint("rebalance", by)
+    rows.write.format(facts["Provider"]).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).save(facts["Location"])
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    spark.catalog.refreshTable(name)
