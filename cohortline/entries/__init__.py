@@ -4,6 +4,6 @@ An entry is ``name: (function, sql)``.  The function takes a session and a folde
 returns a DataFrame; the SQL names its columns alike.
 """
 
-from cohortline.entries import feeds, orders, people, records
+from cohortline.entries import feeds, orders, people, records, tables
 
-ENTRIES = {**people.ENTRIES, **orders.ENTRIES, **records.ENTRIES, **feeds.ENTRIES}
+ENTRIES = {**people.ENTRIES, **orders.ENTRIES, **records.ENTRIES, **feeds.ENTRIES, **tables.ENTRIES}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortline.functions import flag, week_ending
 from cohortline.operators import (
     asof_backward_last,
+    asof_each,
     asof_forward_first,
     attach_first,
     cohort_funnel,
@@ -21,6 +22,7 @@ from cohortline.operators import (
     heavy_keys,
     match_ids,
     outcomes,
+    time_cells,
     value_counts,
     with_stage,
     work_list,
@@ -258,7 +260,28 @@ def high_errors(spark, folder):
     )
 
 
+def asof_each_purchase(spark, folder):
+    """For every purchase time of a user the last view before it and the first error at or after it."""
+    e = events(spark, folder)
+    kind = lambda k, *cols: e.where(F.col("event_type") == k).select("user_id", *cols)
+    bought = kind("purchase", F.col("ts").alias("bought"))
+    views, errors = kind("view", "ts", "event_id", "value"), kind("error", F.col("ts").alias("error_ts"), F.col("event_id").alias("error_id"))
+    heavy = heavy_keys(e, "user_id")
+    back = asof_each(bought, views, "user_id", "bought", "ts", strict=True, tie="event_id", heavy=heavy, cuts=time_cells(views, "user_id", "ts", heavy))
+    ahead = asof_each(bought, errors, "user_id", "bought", "error_ts", forward=True, tie="error_id", heavy=heavy, cuts=time_cells(errors, "user_id", "error_ts", heavy))
+    return back.join(ahead, ["user_id", "bought"]).select("user_id", "bought", "ts", "event_id", "value", "error_ts", "error_id")
+
+
 ENTRIES = {
+    "asof_each_purchase": (
+        asof_each_purchase,
+        """WITH b AS (SELECT DISTINCT user_id, ts AS bought FROM events WHERE event_type = 'purchase'),
+        v AS (SELECT b.user_id, b.bought, e.ts, e.event_id, e.value FROM b JOIN events e ON e.user_id = b.user_id AND e.ts < b.bought
+        WHERE e.event_type = 'view' QUALIFY row_number() OVER (PARTITION BY b.user_id, b.bought ORDER BY e.ts DESC, e.event_id DESC) = 1),
+        r AS (SELECT b.user_id, b.bought, e.ts AS error_ts, e.event_id AS error_id FROM b JOIN events e ON e.user_id = b.user_id AND e.ts >= b.bought
+        WHERE e.event_type = 'error' QUALIFY row_number() OVER (PARTITION BY b.user_id, b.bought ORDER BY e.ts, e.event_id) = 1)
+        SELECT * FROM b LEFT JOIN v USING (user_id, bought) LEFT JOIN r USING (user_id, bought)""",
+    ),
     "funnel_weekly_cohort": (funnel_weekly_cohort, FUNNEL_SQL),
     "asof_forward": (
         asof_forward,

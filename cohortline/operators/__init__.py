@@ -30,6 +30,7 @@ from cohortline.operators.history import (
     term_metrics,
 )
 from cohortline.operators.matching import event_kinds, first_product, match_ids, outcomes, product_labels
+from cohortline.operators.ordered import asof_each, time_cells
 from cohortline.operators.rates import (
     any_prefix_flag,
     cohort_rates,
@@ -49,7 +50,6 @@ from cohortline.operators.stages import (
     stamp_refresh,
     with_stage,
 )
-from cohortline.operators.timeline import Mark, Pick, dated, firsts
 from cohortline.operators.survey import (
     apply_rules,
     attach_responses,
@@ -62,5 +62,6 @@ from cohortline.operators.survey import (
     unmatched,
     widen_rules,
 )
+from cohortline.operators.timeline import Mark, Pick, dated, firsts
 
 __all__ = [name for name in dir() if not name.startswith("_")]
