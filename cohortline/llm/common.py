@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,93 @@ def top_level(counts: DataFrame, n_col: str, most: int) -> int | None:
     return level
 
 
+# --- Bloom filters: four bits of one 64-bit word per key -------------------------------
+
+FILTER_BITS = 12  # per key
+MOST_BITS = 1 << 30  # of one filter: 128 MB
+SEGMENT = 1 << 13  # words
+
+
+def filter_words(n_keys: int, most_bits: int = MOST_BITS) -> int:
+    """Words of a filter: a power of two, about ``FILTER_BITS`` bits a key, within the bound."""
+    wanted = min(max(FILTER_BITS * n_keys, 64 * 64), most_bits)
+    return 1 << ((wanted - 1).bit_length() - 6)
+
+
+def places(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a filter and the bits in it that belong to each hash."""
+    at = (hashes >> np.uint64(24)) & np.uint64(words - 1)
+    bits = np.zeros(len(hashes), np.uint64)
+    for k in range(4):
+        bits |= np.uint64(1) << ((hashes >> np.uint64(6 * k)) & np.uint64(63))
+    return at.astype(np.int64), bits
+
+
+def held_by(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may have been put into a filter: all that were, and few others."""
+    at, bits = places(hashes, len(words))
+    return (words[at] & bits) == bits
+
+
+def packed(words: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(words.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64)
+
+
+def segments(words: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The parts of a filter in which anything is set."""
+    for s in range(max(1, len(words) // SEGMENT)):
+        part = slice(s * SEGMENT, (s + 1) * SEGMENT)
+        if words[part].any():
+            yield s, part
+
+
+def key_filter(keys: DataFrame, n_keys: int, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A filter of the longs in the one column of ``keys``; tasks send the parts that they set."""
+    words = filter_words(n_keys, most_bits)
+    column = keys.columns[0]
+
+    def part_rows(batches):
+        own = np.zeros(words, np.uint64)
+        for batch in batches:
+            at, bits = places(mix(batch.column(column).to_numpy().view(np.uint64)), words)
+            np.bitwise_or.at(own, at, bits)
+        for s, part in segments(own):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([packed(own[part])])], ["segment", "bits"])
+
+    def merged_rows(batches):
+        at, whole = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["segment"] != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(whole)])], ["segment", "bits"])
+                    at, whole = r["segment"], np.zeros(SEGMENT, np.uint64)[: min(SEGMENT, words)]
+                whole = whole | unpacked(r["bits"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(whole)])], ["segment", "bits"])
+
+    parts = keys.mapInArrow(part_rows, "segment int, bits binary").repartition("segment").sortWithinPartitions("segment")
+    found = np.zeros(words, np.uint64)
+    for r in parts.mapInArrow(merged_rows, "segment int, bits binary").toLocalIterator():  # at most MOST_BITS bits
+        found[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = unpacked(r["bits"])
+    return found
+
+
+def may_hold(spark: SparkSession, words: np.ndarray):
+    """A column function for longs: whether a broadcast filter may hold them."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(held_by(shared.value, mix(keys.to_numpy(np.int64).view(np.uint64))))
+
+    return test
+
+
 # --- batches of text -------------------------------------------------------------------
 
 

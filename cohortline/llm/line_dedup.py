@@ -9,7 +9,7 @@ in the document with the smallest id, which keeps all of its own.  Shorter keys
    Filters are merged word by word, in segments: what is set in two tasks' first filters is
    set in the second one.  A key that two texts hold is therefore always in it.
 2. The twice-seen filter is broadcast: at most ``MOST_BITS`` bits (128 MB), less where there
-   are fewer lines.  Beyond about ``MOST_BITS / BITS`` lines it fills up, more keys are suspected
+   are fewer lines.  Beyond about ``MOST_BITS / FILTER_BITS`` lines it fills up, more keys are suspected
    and more rows shuffle; results stay the same.
 3. Texts are read once more.  Lines whose keys are not suspected stay, a text without
    suspects is done.  The others give (SHA-256 of the key, id) rows, combined before they
@@ -29,16 +29,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import flat, keep, pieces, top_level
+from cohortline.llm.common import MOST_BITS, SEGMENT, filter_words, flat, held_by, keep, packed, pieces, places, segments, top_level, unpacked
 
 LEAST = 10
-BITS = 12  # of a filter, per line
-MOST_BITS = 1 << 30
-SEGMENT = 1 << 13  # words
 MOST_OFTEN = 1 << 16  # rows of a broadcast: 48 bytes each
 LAST = (1 << 63) - 1
 GAP = b" \t\n\x0b\x0c\r"
@@ -62,15 +58,6 @@ def text_keys(data: np.ndarray, offsets: np.ndarray, least: int):
         yield text, len(keys), [(i, k) for i, k in enumerate(keys) if counts(k, least)]
 
 
-def places(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word of a filter and the bits in it that belong to each hash."""
-    at = (hashes >> np.uint64(24)) & np.uint64(words - 1)
-    bits = np.zeros(len(hashes), np.uint64)
-    for k in range(4):
-        bits |= np.uint64(1) << ((hashes >> np.uint64(6 * k)) & np.uint64(63))
-    return at.astype(np.int64), bits
-
-
 def add(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray) -> None:
     """Put hashes, one for each text and key, into the filters."""
     distinct, n = np.unique(hashes, return_counts=True)
@@ -80,18 +67,6 @@ def add(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray) -> None:
     np.bitwise_or.at(once, at, bits)
 
 
-def segments_of(words: int) -> int:
-    return max(1, words // SEGMENT)
-
-
-def packed(words: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(words.tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64)
-
-
 FILTERS = "segment int, once binary, twice binary"
 
 
@@ -104,11 +79,9 @@ def filter_rows(words: int, least: int, text_col: str):
                 hashes += {xxhash.xxh3_64_intdigest(k) for _, k in keys}
             if hashes:
                 add(once, twice, np.array(hashes, np.uint64))
-        for s in range(segments_of(words)):
-            part = slice(s * SEGMENT, (s + 1) * SEGMENT)
-            if once[part].any():
-                row = [pa.array([s], pa.int32()), pa.array([packed(once[part])]), pa.array([packed(twice[part])])]
-                yield pa.RecordBatch.from_arrays(row, ["segment", "once", "twice"])
+        for s, part in segments(once):
+            row = [pa.array([s], pa.int32()), pa.array([packed(once[part])]), pa.array([packed(twice[part])])]
+            yield pa.RecordBatch.from_arrays(row, ["segment", "once", "twice"])
 
     return run
 
@@ -134,12 +107,6 @@ def merged_rows(batches):
         yield out()
 
 
-def filter_words(n_lines: int, most_bits: int) -> int:
-    """Words of a filter: a power of two, about ``BITS`` bits a line, within the bound."""
-    wanted = min(max(BITS * n_lines, 64 * 64), most_bits)
-    return 1 << ((wanted - 1).bit_length() - 6)
-
-
 def suspects(texts: DataFrame, text_col: str = "text", least: int = LEAST, most_bits: int = MOST_BITS) -> np.ndarray:
     """The twice-seen filter of all lines: no key that two rows hold is missing in it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -159,8 +126,7 @@ def probe_rows(shared, least: int):
         for batch in pieces(batches, "text"):
             n, digests, open_texts, suspected = [], [], [], []
             for text, n_lines, keys in text_keys(*flat(batch.column("text")), least):
-                at, bits = places(np.array([xxhash.xxh3_64_intdigest(k) for _, k in keys], np.uint64), len(twice))
-                hit = (twice[at] & bits) == bits
+                hit = held_by(twice, np.array([xxhash.xxh3_64_intdigest(k) for _, k in keys], np.uint64))
                 lines = {}
                 for (line, key), suspect in zip(keys, hit.tolist()):
                     if suspect:

@@ -13,7 +13,12 @@ smaller id.  Removed windows merge into maximal intervals.
    smallest document of every hash, and the windows join it.  No group is ever gathered:
    both counts combine before they shuffle, and the joined side has one row per hash,
    so a window that fills a third of all rows is split by adaptive execution.
-4. The positions found, merged into intervals, join the texts once more and cut them.
+4. The positions found, merged into intervals, join their texts and cut them.
+
+Texts are shuffled only where they hold a repeated anchor (step 3), and where they lose words or
+have copies (step 4): Bloom filters of their hashes, at most 128 MB each, choose them where
+they are read.  A filter lets a percent of the others through, more if it is too small for the
+corpus; the joins behind it are exact.
 
 Null text has no words; a null id is treated as larger than every id; rows that share an
 id never remove each other's words; repeated rows are each returned.  Texts of any
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import find_words, flat, keep, mix, pieces, signed, window_hashes, word_hashes
+from cohortline.llm.common import find_words, flat, keep, key_filter, may_hold, mix, pieces, signed, window_hashes, word_hashes
 
 WINDOW = 50
 GRAM = 16
@@ -96,7 +101,7 @@ def window_rows(window: int, gram: int):
                 [
                     batch.column("doc_id").take(pa.array(row)),
                     batch.column("key").take(pa.array(row)),
-                    pa.array(first - np.searchsorted(word_row, row)),
+                    pa.array((first - np.searchsorted(word_row, row)).astype(np.int32)),
                     pa.array(signed(window_hashes(hashes, first, first + window))),
                     pa.array((window_hashes(other, first, first + window) >> np.uint64(33)).astype(np.int32)),
                 ],
@@ -150,29 +155,41 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and the SHA-256 of the words that stay, joined by blanks."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 16), 16, -10).cast("long")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("order"),
-        F.unhex(F.md5(text)).alias("key"),
+        half(1).alias("key"),
+        half(17).alias("key2"),
         text.alias("text"),
     )
-    classes = rows.groupBy("key").agg(F.min("order").alias("first"))
-    classes = keep(classes, "texts")
+    place = F.xxhash64("key", "order")  # of a text in a document; filters hold it
+    texts = ["key", "key2", "order"]
+    classes = keep(rows.groupBy("key", "key2").agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("rows")), "texts")
 
-    anchors = keep(rows.select("key", "text").mapInArrow(anchor_rows(window, gram), "key binary, anchor long"), "anchors")
+    anchors = keep(rows.select("key", "text").mapInArrow(anchor_rows(window, gram), "key long, anchor long"), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("anchor")
     lists = anchors.join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    lists = lists.join(classes, "key").select(F.col("key"), F.col("first").alias("order"), "anchors")
+    lists = keep(lists.join(classes, "key").select(*texts, "anchors"), "lists")
 
-    searched = rows.join(lists, ["key", "order"]).select(F.col("order").alias("doc_id"), "key", "text", "anchors")
-    schema = "doc_id long, key binary, at long, hash long, check int"
-    windows = keep(searched.mapInArrow(window_rows(window, gram), schema), "windows")
+    # only texts that hold a repeated anchor are shuffled to meet their list; the filter lets few others through
+    wanted = may_hold(spark, key_filter(lists.select(place.alias("h")), lists.count()))
+    searched = rows.where(wanted(place)).join(lists, texts).select(F.col("order").alias("doc_id"), "key", "text", "anchors")
+    windows = keep(searched.mapInArrow(window_rows(window, gram), "doc_id long, key long, at int, hash long, check int"), "windows")
     least = windows.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     found = windows.join(least, ["hash", "check"]).where("doc_id > least")
-    spots = found.groupBy("key", F.col("doc_id").alias("order")).agg(F.collect_set("at").alias("spots"))
-
-    state = classes.withColumnRenamed("first", "order").join(spots, ["key", "order"], "left")
-    state = state.select("key", "order", "spots", F.lit(True).alias("is_first"))
-    cut = rows.join(state, ["key", "order"], "left").select("doc_id", "text", "spots", F.col("is_first").isNull().alias("copy"))
-    return cut.mapInArrow(cut_rows(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spots = keep(found.groupBy("key", F.col("doc_id").alias("order")).agg(F.collect_set("at").alias("spots")), "spots")
+
+    # texts with spots, and texts of which there are several copies, are shuffled to meet them; the rest is hashed where it is read
+    copied = classes.where("rows > 1")
+    touched = spots.select(place.alias("h")).unionAll(copied.select(F.xxhash64("key").alias("h")))
+    touched = keep(touched, "touched")
+    either = may_hold(spark, key_filter(touched, touched.count()))
+    near = either(place) | either(F.xxhash64("key"))
+    state = classes.join(spots, ["key", "order"], "left").select(*texts, "spots", F.lit(True).alias("is_first"))
+    cut = rows.where(near).join(state, texts, "left").select("doc_id", "text", "spots", F.col("is_first").isNull().alias("copy"))
+    alone = rows.where(~near).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spots"), F.lit(False).alias("copy"))
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return cut.mapInArrow(cut_rows(window), out).unionAll(alone.mapInArrow(cut_rows(window), out))

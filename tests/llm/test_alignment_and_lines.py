@@ -7,10 +7,14 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from compare import TESTDATA
 from llm_helpers import sentence, table, texts
 
+from pyspark.sql import functions as F
+
 from cohortline.llm import align, fim, line_dedup
+from cohortline.llm.common import MOST_BITS, filter_words, held_by, key_filter, may_hold
 
 
 def sha(text):
@@ -216,11 +220,20 @@ def test_filters_never_miss_a_repeat_and_suspect_few_others(spark):
     n = 30_000
     df = spark.range(n).selectExpr("id AS doc_id", "concat('line number ', id, '\\nshared line number ', id % 10000) AS text").repartition(7)
     twice = line_dedup.suspects(df)
-    suspected = lambda keys: np.array([(lambda at, bits: bool((twice[at] & bits == bits)[0]))(*line_dedup.places(np.array([line_dedup.xxhash.xxh3_64_intdigest(k.encode())], np.uint64), len(twice))) for k in keys])
+    suspected = lambda keys: held_by(twice, np.array([xxhash.xxh3_64_intdigest(k.encode()) for k in keys], np.uint64))
     assert suspected([f"shared line number {i}" for i in range(0, n // 3, 7)]).all()
     assert suspected([f"line number {i}" for i in range(0, n, 7)]).mean() < 0.05
 
 
 def test_filter_size_is_bounded():
-    assert line_dedup.filter_words(10**12, line_dedup.MOST_BITS) * 64 == line_dedup.MOST_BITS
-    assert 12 * 10**6 <= line_dedup.filter_words(10**6, line_dedup.MOST_BITS) * 64 < 24 * 10**6 + 1
+    assert filter_words(10**12) * 64 == MOST_BITS
+    assert 12 * 10**6 <= filter_words(10**6) * 64 <= 24 * 10**6
+
+
+def test_key_filter_holds_its_keys(spark):
+    df = spark.range(0, 100_000, 5).select((F.col("id") * 7919).alias("h")).repartition(5)
+    words = key_filter(df, df.count())
+    test = may_hold(spark, words)
+    all_ = spark.range(100_000).select((F.col("id") % 5 == 0).alias("put"), test(F.col("id") * 7919).alias("hit"))
+    n = {(r["put"], r["hit"]): r["count"] for r in all_.groupBy("put", "hit").count().collect()}
+    assert n[True, True] == 20_000 and (True, False) not in n and n.get((False, True), 0) < 2_000
