@@ -28,12 +28,12 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import keep
+from cohortline.llm.common import keep, pieces
 
 BUDGET = 4096
 HISTORY = 1024
@@ -93,25 +93,23 @@ TURN = "conv_id long, turn long, role string, text string, tie long"
 def offsets(batches):
     """Adds each turn's cost and the running cost of its conversation within this task."""
     part, conv, begun, total = TaskContext.get().partitionId(), None, False, 0
-    for df in batches:
-        ids = [None if pd.isna(x) else int(x) for x in df["conv_id"]]
-        cost = [len(format_turn(r, t)[0]) for r, t in zip(df["role"], df["text"], strict=True)]
+    for batch in batches:
+        ids = batch.column("conv_id").to_pylist()
+        cost = [len(format_turn(r, t)[0]) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
         local = []
         for i, c in zip(ids, cost, strict=True):
             if not begun or i != conv:
                 conv, begun, total = i, True, 0
             local.append(total)
             total += c
-        yield df.assign(part=part, cost=cost, local=local)
+        new = [pa.array([part] * len(ids), pa.int32()), pa.array(cost, pa.int64()), pa.array(local, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "part", "cost", "local"])
 
 
-def pack(cell: pd.DataFrame, budget: int, history: int) -> pd.DataFrame:
+def pack(conv: int | None, number: int, rows: list[tuple], budget: int, history: int) -> list[tuple]:
     """The windows of one cell: new turns in order, with system turn and history before each."""
-    cell = cell.sort_values(["offset", "turn", "role", "tie"], kind="stable")
-    rows = list(zip(cell["offset"], cell["cost"], cell["role"], cell["text"], cell["kind"], strict=True))
     system = next(((o, c, r, t) for o, c, r, t, k in rows if k == 0), None)
     turns = [(o, c, r, t, k == 2) for o, c, r, t, k in rows if k > 0]
-    conv, number = cell["conv_id"].iloc[0], int(cell["cell"].iloc[0])
     out, at, window = [], next((i for i, x in enumerate(turns) if x[4]), len(turns)), 0
     while at < len(turns):
         first = turns[at]
@@ -134,7 +132,34 @@ def pack(cell: pd.DataFrame, budget: int, history: int) -> pd.DataFrame:
             size += len(piece)
         out.append((conv, number, window, len(head), "".join(text), starts, ends))
         at, window = upto, window + 1
-    return pd.DataFrame(out, columns=["conv_id", "cell", "window", "n_repeated", "formatted", "loss_start", "loss_end"])
+    return out
+
+
+def packed_rows(budget: int, history: int):
+    """Windows of cells that come in order, turns in order within each; one cell is held at a time."""
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["conv_id", "cell", "window", "n_repeated", "formatted", "loss_start", "loss_end"]
+
+    def record(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names)
+
+    def run(batches):
+        key, held = None, []
+        for batch in pieces(batches, "text"):
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "cell", "offset", "cost", "role", "text", "kind")]
+            for conv, number, *row in zip(*columns, strict=True):
+                if held and (conv, number) != key:
+                    out += pack(*key, held, budget, history)
+                    held = []
+                key = conv, number
+                held.append(tuple(row))
+            if out:
+                yield record(out)
+        if held and (out := pack(*key, held, budget, history)):
+            yield record(out)
+
+    return run
 
 
 WINDOWS = "conv_id long, cell long, window long, n_repeated long, formatted string, loss_start array<long>, loss_end array<long>"
@@ -151,7 +176,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     )
     order = ["conv_id", "turn", "role", "tie"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = keep(sorted_.mapInPandas(offsets, f"{TURN}, part int, cost long, local long"), "turns")
+    placed = keep(sorted_.mapInArrow(offsets, f"{TURN}, part int, cost long, local long"), "turns")
     # what earlier tasks hold of a conversation: only conversations that lie in several tasks have a carry
     sums = placed.groupBy("conv_id", "part").agg(F.sum("cost").alias("cost"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,40 +197,46 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     everything = everything.unionByName(heads.select(*names, "kind")).unionByName(tails.select(*names, "kind"))
     first = (F.col("kind") == 2) & (F.col("offset") == 0) & (F.col("role") == "system")
     everything = everything.unionByName(everything.where(first).withColumn("kind", F.lit(0)))
-    return everything.groupBy("conv_id", "cell").applyInPandas(lambda df: pack(df, budget, history), WINDOWS)
+    dealt = everything.repartition("conv_id", "cell").sortWithinPartitions("conv_id", "cell", "offset", "turn", "role", "tie")
+    return dealt.mapInArrow(packed_rows(budget, history), WINDOWS)
 
 
 def digests(batches):
     """Reads formatted windows back: per conversation, in order, its new turns and the text under the loss mask."""
     open_, conv = None, None
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def row():
         return (conv, open_["n"], open_["turns"].hexdigest(), open_["chars"], open_["loss"].hexdigest(), open_["size"])
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    for df in batches:
+    def record(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names)
+
+    for batch in pieces(batches, "formatted"):
         out = []
-        for i, repeated, text, starts, ends in zip(df["conv_id"], df["n_repeated"], df["formatted"], df["loss_start"], df["loss_end"], strict=True):
-            i = None if pd.isna(i) else int(i)
+        columns = [batch.column(c).to_pylist() for c in ("conv_id", "n_repeated", "formatted", "loss_start", "loss_end")]
+        for i, repeated, text, starts, ends in zip(*columns, strict=True):
             if open_ is None or i != conv:
                 if open_ is not None:
                     out.append(row())
                 conv, open_ = i, {"n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0}
-            for role, low, high in read_turns(text)[int(repeated) :]:
+            for role, low, high in read_turns(text)[repeated:]:
                 open_["n"] += 1
                 open_["turns"].update(f"{role}\n{unescape(text[low:high])}\n".encode())
             for low, high in zip(starts, ends, strict=True):
-                target = unescape(text[int(low) : int(high)])
+                target = unescape(text[low:high])
                 open_["chars"] += len(target)
                 open_["loss"].update(target.encode())
             open_["size"] += len(text)
-        yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+        if out:
+            yield record(out)
     if open_ is not None:
-        yield pd.DataFrame([row()], columns=names).astype({"conv_id": "Int64"})
+        yield record([row()])
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """One row per conversation, made from the formatted windows alone, streamed in order."""
     rows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "cell", "window")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return rows.mapInPandas(digests, schema)
+    return rows.mapInArrow(digests, schema)

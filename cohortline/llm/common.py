@@ -47,6 +47,17 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like these that no column of the frame has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        taken.add(f"_{name}")
+        out.append(f"_{name}")
+    return out
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A frame marked for broadcast if its counted rows are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df

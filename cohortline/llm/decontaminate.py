@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import keep, small
+from cohortline.llm.common import free_names, keep, small
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -139,7 +139,8 @@ def matches(
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = matches(docs, items, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).distinct()
+    key, text_hash = free_names(docs, "id", "hash")
+    found = matches(docs, items, id_col, text_col).select(F.col("doc_id").alias(key), F.col("doc_hash").alias(text_hash)).distinct()
     found = keep(found, "contaminated")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(text_hash))
     return docs.join(small(found, found.count(), MOST_DOCS), same, "left_anti")

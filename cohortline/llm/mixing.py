@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortline.llm.common import free_names
+
 SEED = 20_240_601
 BLOCKS = 1_000_000  # least blocks in the whole mix, unless they would be smaller than a word
 LEAST_BLOCKS = 100  # of any source, unless they would be smaller than a word
@@ -147,11 +149,15 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Rows that agree in id and text lie next to each other on the axis; the words taken of
     them are shared out evenly, so each row of such a group carries the same count.
+    A column of ``docs`` that has the name of one of the three is replaced by it.
     """
     mixed = mix(docs, id_col, text_col, source_col)
-    found = mixed.groupBy(F.col("doc_key").alias("__key"), F.col("source").alias("__source")).agg(
+    out = ["mix_size", "mix_target", "mix_taken"]
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in out])
+    own, of = free_names(docs, "key", "source")
+    found = mixed.groupBy(F.col("doc_key").alias(own), F.col("source").alias(of)).agg(
         F.first("size").alias("mix_size"), F.first("target").alias("mix_target"), F.floor(F.sum("taken") / F.count(F.lit(1))).alias("mix_taken")
     )
     key = F.xxhash64(F.lit(SEED), docs[id_col], docs[text_col])
-    same = (key == F.col("__key")) & docs[source_col].eqNullSafe(F.col("__source"))
-    return docs.join(found.where("mix_taken > 0"), same).drop("__key", "__source")
+    same = (key == F.col(own)) & docs[source_col].eqNullSafe(F.col(of))
+    return docs.join(found.where("mix_taken > 0"), same).drop(own, of)

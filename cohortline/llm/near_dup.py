@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import find_words, flat, keep, mix, pieces, short_batches, signed, small, window_hashes, word_hashes
+from cohortline.llm.common import find_words, flat, free_names, keep, mix, pieces, short_batches, signed, small, window_hashes, word_hashes
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -283,9 +283,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         last = turn == ROUNDS or (turn > 0 and load["pairs"] <= 16 * load["members"])
         open_ = labelled.join(mixed.select("bucket"), "bucket")
         if last:
-            left = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
-            right = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
-            pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+            # members bring their sketches, so that the join of a bucket gives only pairs worth checking
+            open_ = open_.join(sketches.select("node", *SKETCH).hint("merge"), "node")
+            side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])  # noqa: E731, B023
+            near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("sa", "sb") >= similarity * F.greatest("sa", "sb"))
+            near = near & (apart([f"a_{c}" for c in SKETCH], [f"b_{c}" for c in SKETCH]) <= MOST_APART)
+            pairs = side("a").join(side("b"), "bucket").where(near)
         else:
             rank = F.xxhash64("node", F.lit(turn)) if turn else -F.col("meets")
             order = F.struct(rank.alias("rank"), "node", "label", "size")
@@ -296,12 +299,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         pairs = pairs.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs["a"], pairs["b"]) == tried["x"], F.greatest(pairs["a"], pairs["b"]) == tried["y"]], "left_anti")
-        near = pairs
-        for side in ("a", "b"):
-            mine = sketches.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in SKETCH])
-            near = near.join(mine, side)
-        near = near.where(apart([f"a_{c}" for c in SKETCH], [f"b_{c}" for c in SKETCH]) <= MOST_APART)
-        pairs = keep(near.select("a", "b"), "pairs")
+        if not last:
+            for x in ("a", "b"):
+                pairs = pairs.join(sketches.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH]), x)
+            pairs = pairs.where(apart([f"a_{c}" for c in SKETCH], [f"b_{c}" for c in SKETCH]) <= MOST_APART)
+        pairs = keep(pairs.select("a", "b"), "pairs")
         counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         links = verify(pairs.join(counts, "a"), texts, similarity)
         done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
@@ -339,19 +341,23 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows without words all stay.
     """
     found = keep(classes(docs, id_col, text_col).select("doc_id", "hash", "first"), "classes")
-    pairs = found.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(
-        F.count(F.lit(1)).alias("__rows"), F.count_if("first").alias("__stay")
-    )
-    pairs = keep(pairs.where("__stay < __rows"), "gone")  # rows of one id and text: none stays, or one of several
+    key, text_hash, rows, stay, own, copy = free_names(docs, "id", "hash", "rows", "stay", "text_hash", "copy")
+    pairs = found.groupBy(F.col("doc_id").alias(key), F.col("hash").alias(text_hash)).agg(F.count(F.lit(1)).alias(rows), F.count_if("first").alias(stay))
+    pairs = keep(pairs.where(F.col(stay) < F.col(rows)), "gone")  # rows of one id and text: none stays, or one of several
     names = docs.columns
-    out = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    same = out[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    whole = pairs.where("__stay = 0")
+    out = docs.withColumn(own, F.xxhash64(text_col))
+    same = out[id_col].eqNullSafe(F.col(key)) & (F.col(own) == F.col(text_hash))
+    whole = pairs.where(F.col(stay) == 0)
     out = out.join(small(whole, whole.count(), MOST_DOCS), same, "left_anti")
-    partly = pairs.where("__stay > 0")
+    partly = pairs.where(F.col(stay) > 0)
     n = partly.count()
     if n:
         out = out.join(small(partly, n, MOST_DOCS), same, "left")
-        out = out.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__text_hash", "__rows", id_col).orderBy(F.lit(1))))
-        out = out.where(F.col("__rows").isNull() | (F.col("__copy") <= F.col("__stay")))
-    return out.select(*names)
+        # of rows that share id and text the smallest by all other columns stays; rows found once pass the window alone
+        order = [F.col(f"`{c}`") for c in names if c not in (id_col, text_col)]
+        order = [c.cast("string") if dict(docs.dtypes)[n_].startswith("map") else c for n_, c in zip([c for c in names if c not in (id_col, text_col)], order)]
+        alone = out.where(F.col(rows).isNull())
+        several = out.where(F.col(rows).isNotNull())
+        several = several.withColumn(copy, F.row_number().over(Window.partitionBy(key, text_hash).orderBy(*order, F.lit(1))))
+        out = alone.unionByName(several.where(F.col(copy) <= F.col(stay)).drop(copy))
+    return out.select(*[f"`{c}`" for c in names])

@@ -12,12 +12,14 @@ k AS (SELECT * FROM (VALUES
   (7, 'localphone', '\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}')) v(kid, kind, re)),
 raw AS (SELECT doc_id, kid, kind, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS g FROM d, k WHERE regexp_matches(t, re)),
 one AS (SELECT doc_id, kid, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM raw),
-placed AS (
-  SELECT doc_id, kid, kind, m[i] AS s, g[i] AS before, g[i + 1] AS after,
+spots AS (
+  SELECT doc_id, kid, kind, m[i] AS s,
     list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b
   FROM one),
+placed AS (SELECT p.*, substr(t, CAST(greatest(b - 40, 0) AS BIGINT) + 1, CAST(least(b, 40) AS BIGINT)) AS before,
+    substr(t, CAST(b + length(s) AS BIGINT) + 1, 40) AS after FROM spots p JOIN d USING (doc_id)),
 dig AS (SELECT *, regexp_replace(s, '[^0-9]', '', 'g') AS n,
-    lower(right(before, 40) || '|' || left(after, 40)) AS near,
+    lower(before || '|' || after) AS near,
     regexp_matches(right(before, 1), '[A-Za-z0-9]') OR regexp_matches(left(after, 1), '[A-Za-z0-9]') AS touched FROM placed),
 ok AS (SELECT * FROM dig WHERE CASE kind
   WHEN 'email' THEN true

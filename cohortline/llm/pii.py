@@ -9,7 +9,7 @@ every match its place in code points, in time linear in the text.
 Kinds: ``email``, ``ip``, ``card`` and ``phone`` are found by their pattern and rule alone
 and always stay.  The method adds ``iban`` (mod 97 confirms it), and ``ssn`` and
 ``localphone``, whose patterns are weak: they stay only where a context word
-stands within ``REACH`` characters (up to the next match of the kind) and lifts their score over ``THRESHOLD``.
+stands within ``REACH`` characters of the text, whatever else stands between, and lifts their score over ``THRESHOLD``.
 
 Quantifiers are possessive where nothing that follows could use what they would give
 back, and a match may begin only where a run begins or the last match ended.  This
@@ -27,7 +27,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.llm.common import free_names
+
 REACH = 40
+SHORTEST = 11  # characters of the shortest match of a kind with context
 THRESHOLD = 0.5
 BASE_KINDS = ("email", "ip", "card", "phone")
 
@@ -108,27 +111,45 @@ def parts(df: DataFrame, kind: Kind, text: str, matches: str, gaps: str) -> Data
     return df.withColumn(gaps, F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1)))
 
 
+def around(kind: Kind, matches: str, gaps: str, i: Column) -> tuple[Column, Column]:
+    """The ``REACH`` characters of the text before and after match ``i``, other matches of the kind included."""
+    near = -(-REACH // SHORTEST)  # so many neighbouring matches can lie within reach
+    part = lambda array, at: F.coalesce(F.get(array, at), F.lit(""))
+    left, right = [F.right(part(gaps, i), F.lit(REACH))], [F.left(part(gaps, i + 1), F.lit(REACH))]
+    for k in range(1, near + 1):
+        left = [F.right(part(gaps, i - k), F.lit(REACH)), part(matches, i - k), *left]
+        right += [part(matches, i + k), F.left(part(gaps, i + k + 1), F.lit(REACH))]
+    return F.right(F.concat(*left), F.lit(REACH)), F.left(F.concat(*right), F.lit(REACH))
+
+
 def verdicts(kind: Kind, matches: str, gaps: str) -> Column:
     """For every match its text and whether it stays."""
+    none = F.lit("")
     return F.transform(
         F.col(matches),
-        lambda m, i: F.struct(m.alias("m"), judged(kind, m, F.get(gaps, i), F.get(gaps, i + 1)).alias("ok")),
+        lambda m, i: F.struct(m.alias("m"), judged(kind, m, *(around(kind, matches, gaps, i) if kind.whole or kind.context else (none, none))).alias("ok")),
     )
 
 
-def spans(kind: Kind, matches: str, gaps: str) -> Column:
-    """``kind:start:end`` of every match that stays, in code points, end exclusive."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+def places(kind: Kind, matches: str, gaps: str) -> Column:
+    """(start, end, name) of every match that stays, in code points, end exclusive."""
+    array = "array<struct<start: bigint, end: bigint, name: string>>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(array).alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["v"]["m"]), F.lit(0))
-        name = F.concat_ws(":", F.lit(kind.name), begin.cast("string"), end.cast("string"))
-        return F.struct(end.alias("at"), F.when(x["v"]["ok"], F.array_append(acc["out"], name)).otherwise(acc["out"]).alias("out"))
+        found = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind.name).alias("name"))
+        return F.struct(end.alias("at"), F.when(x["v"]["ok"], F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
     each = F.arrays_zip(F.col(gaps).alias("gap"), verdicts(kind, matches, gaps).alias("v"))
     found = F.aggregate(each, start, step, lambda acc: acc["out"])
-    return F.when(F.col(gaps).isNotNull(), found).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col(gaps).isNotNull(), found).otherwise(F.array().cast(array))
+
+
+def spans(kind: Kind, matches: str, gaps: str) -> Column:
+    """``kind:start:end`` of every match that stays."""
+    return F.transform(places(kind, matches, gaps), lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,16 +170,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows with every confirmed span replaced by its kind in brackets.
 
-    Kinds go one after the other, each over what the former left, so that overlapping
-    spans are covered without cutting the text at each of them.  Null text stays null.
+    Spans of all kinds are found in the text as it is; those that overlap become one, named after the
+    one that starts first (then the longer one), and the text is cut once: no character of a span stays.
+    Null text stays null.
     """
-    df, names = docs, docs.columns
+    names = docs.columns
+    mark, *own = free_names(docs, "spans", *[f"{x}{i}" for i in range(len(KINDS)) for x in ("m", "g")])
+    df = docs
     for i, kind in enumerate(KINDS):
-        df = parts(df, kind, text_col, f"__m{i}", f"__g{i}")
-        each = F.arrays_zip(F.col(f"__g{i}").alias("gap"), verdicts(kind, f"__m{i}", f"__g{i}").alias("v"))
-        tag = F.lit(f"[{kind.name.upper()}]")
-        filled = F.transform(each, lambda x: F.concat(x["gap"], F.when(x["v"]["ok"], tag).otherwise(F.coalesce(x["v"]["m"], F.lit("")))))  # noqa: B023
-        df = df.withColumn(text_col, F.when(F.col(f"__g{i}").isNotNull(), F.array_join(filled, "")).otherwise(F.col(text_col)))
-        df = df.drop(f"__m{i}", f"__g{i}")
+        df = parts(df, kind, f"`{text_col}`", own[2 * i], own[2 * i + 1])
+    all_ = F.flatten(F.array(*[places(k, own[2 * i], own[2 * i + 1]) for i, k in enumerate(KINDS)]))
+    order = F.transform(all_, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), x["name"].alias("name"), x["end"].alias("end")))
+    df = df.withColumn(mark, F.array_sort(order)).drop(*own)
+
+    text = F.col(f"`{text_col}`")
+    piece = lambda a, b: F.substr(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        new = x["start"] >= acc["at"]
+        tag = F.array(piece(acc["at"], x["start"]), F.concat(F.lit("["), F.upper(x["name"]), F.lit("]")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, F.concat(acc["out"], tag)).otherwise(acc["out"]).alias("out"))
+
+    cut = F.aggregate(F.col(mark), first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), piece(acc["at"], F.length(text).cast("long"))))
+    df = df.withColumn(text_col, F.when(F.size(mark) > 0, cut).otherwise(text))
     # a generator on top: a filter on the text is then not pushed below and repeated in every step
-    return df.select(*[F.explode_outer(F.array(c)).alias(c) if c == text_col else F.col(c) for c in names])
+    return df.select(*[F.explode_outer(F.array(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

@@ -30,7 +30,9 @@ def rows():
     out += [(2, i, ["system", "user", "assistant"][min(i, 1 + (i % 2))], f"turn {i} " + "w" * (i % 90)) for i in range(700)]
     out += [(3, 0, "assistant", "z" * 9000), (3, 1, "user", "short"), (3, 2, "assistant", "y" * 9000)]
     out += [(4, 0, "we]ird\\[role", "t"), (5, None, None, None), (None, 1, "assistant", "nobody"), (6, 0, "user", "same"), (6, 0, "user", "same")]
-    return out
+    big = 2**53
+    out += [(big, 0, "user", "even"), (big + 1, 0, "user", "odd"), (big, 1, "assistant", "a"), (big + 1, 1, "assistant", "b")]
+    return out + [(7, None, "user", "no turn"), (7, big, "user", "first"), (7, big + 1, "assistant", "second")]
 
 
 @pytest.mark.parametrize("cell", [chat.CELL, 2000])
@@ -49,6 +51,16 @@ def test_windows_read_back(spark, cell):
     assert chat.read_back(chat.format_windows(turns(spark, []))).count() == 0
 
 
+def test_conversations_go_over_many_batches(spark):
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        found = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_windows(turns(spark, rows()), budget=600, history=150)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert found == digest(rows())
+
+
 def test_escapes_are_reversible():
     for text in ("", "\\", "<", "[", "\\<[", "</s>\\", "a\\\\<s>"):
         formatted, low, high = chat.format_turn("r]\\[", text)

@@ -189,7 +189,32 @@ def test_personal_data(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert r["spans"].split(",")[: len(base)] == (base or r["spans"].split(",")[:0])
     found = {r["doc_id"]: r["spans"] for r in pii.find(table(spark, rows)).collect()}
-    assert found[4].count("iban:") == 2 and found[5].count("ssn:") == 1
+    assert found[4].count("iban:") == 2 and found[5].count("ssn:") == 2
+
+
+CONTEXT = {
+    "SSNs: 123-45-6789, 234-56-7890": "SSNs: [SSN], [SSN]",
+    "Call 555-123-4567 or 555-765-4321": "Call [LOCALPHONE] or [LOCALPHONE]",
+    "123-45-6789, 223-45-6789, 323-45-6789 (ssn)": "[SSN], [SSN], [SSN] (ssn)",
+    "ssn" + "." * 37 + "123-45-6789": "ssn" + "." * 37 + "[SSN]",
+    "ssn" + "." * 38 + "123-45-6789": "ssn" + "." * 38 + "123-45-6789",
+    "ssn 000-00-00001, 223-45-6789": "ssn 000-00-00001, [SSN]",
+    "ssn 123-45-6789223-45-6789": "ssn 123-45-6789223-45-6789",
+    "call +49.30.12.34.567 now": "call [PHONE] now",
+    "a@b.c, 1.2.3.4 é🙂 +123456789": "[EMAIL], [IP] é🙂 [PHONE]",
+    "nothing": "nothing",
+    "": "",
+}
+
+
+def test_context_reaches_over_other_matches_and_spans_are_cut_once(spark):
+    rows = list(enumerate(CONTEXT))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(table(spark, rows)).collect()}
+    for i, text in rows:
+        assert clean[i] == CONTEXT[text]
+    odd = spark.createDataFrame([("mail a@b.c", "x", "y", "z")], "text string, _m0 string, `_SPANS` string, `__m0` string")
+    out = pii.redact(odd)
+    assert out.columns == odd.columns and tuple(out.first()) == ("mail [EMAIL]", "x", "y", "z")
 
 
 def test_redaction_leaves_no_confirmed_span(spark):
