@@ -266,7 +266,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wanted = wanted.toDF("node", "_id", "_hash", "hot").hint("merge")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash"))).select("node", "hot", "text")
     texts = keep(texts.dropDuplicates(["node"]), "texts")
-    dealt = keep(texts.where("hot").select("node", "text").mapInArrow(long_rows, "node long, bucket long"), "long")
+    dealt = keep(texts.where("hot").select("node", "text").repartition("node").mapInArrow(long_rows, "node long, bucket long"), "long")
     again = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = shared.where(F.col("n") <= HOT).select("bucket", "node").unionByName(dealt.join(again, "bucket").select("bucket", "node"))
     members = keep(members.join(sketches.select("node", "size", "meets"), "node"), "members")
