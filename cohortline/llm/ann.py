@@ -1,18 +1,23 @@
-"""Approximate nearest neighbours by inner product: robust-pruned graphs, one per shard.
+"""Approximate nearest neighbours by inner product: robust-pruned graphs, one or more per shard.
 
-The distinct vectors are dealt to shards of about ``SHARD_ROWS`` by hash; one task builds one shard's graph.  Points of a
-shard are lifted to one norm, where largest inner product is smallest distance.  They are inserted in
-batches: a greedy beam search over the graph so far proposes neighbours, and pruning keeps a neighbour only
-if no kept one is ``ALPHA`` times nearer to it than the point is, so edges stay diverse; reverse edges are
-added and pruned alike.  A query searches every shard's graph with a beam of ``BEAM`` and the best of all shards win,
-scored on the original vectors in double precision.
+The distinct vectors are dealt to shards of about ``SHARD_ROWS`` by hash; one task builds one shard.  A shard is
+cut into bands of similar norm (``RATIO``, at least ``LEAST`` points), longest first, and each band gets a graph over the
+directions of its points, where a query is a direction like any other: a single graph over unequal norms leads a search for
+the largest inner product astray.  Points are inserted in batches: a greedy beam search over the graph so far
+proposes neighbours, and pruning keeps a neighbour only if no kept one is ``ALPHA`` times nearer to it than the
+point is, so edges stay diverse; reverse edges are added and pruned alike.  A search starts from the nearest of many starts, half
+of them far from each other and half drawn at random, so that groups of near copies, which have edges among themselves only, are
+reached.  A query searches the bands of every shard with a beam of ``BEAM`` that follows the inner product, and the best of
+all win, scored on the original vectors in double precision.  A band is left out only where the longest vector in it could not
+reach the K-th best found so far, whatever its direction.
 
 Identical vectors are one point with its smallest ``K + 1`` ids: as ties go to smaller ids, no
 other can be among the K nearest, so a vector that many rows share costs one point.
 
 Every valid row is indexed.  Null, empty and zero vectors and those with null or non-finite components take no part;
-nor do rows without id.  Vectors of different length are never compared.  Queries are dealt to each shard in blocks of at
-most about ``QUERY_BLOCK``, so a task holds one shard and one block.
+nor do rows without id.  Vectors of different length are never compared.  Directions are taken before single precision, so
+components of any finite size are searched; a product beyond the range of a double is infinite or NaN (last).  Queries are dealt
+to each shard in blocks of at most about ``QUERY_BLOCK``, so a task holds one shard and one block.
 """
 
 from __future__ import annotations
@@ -25,31 +30,52 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import keep
 
 K = 20
-SHARD_ROWS = 4000
-QUERY_BLOCK = 4000
+SHARD_ROWS = 20_000
+QUERY_BLOCK = 20_000
+RATIO = 1.25
+LEAST = 256
 DEGREE = 32
 BUILD_BEAM = 64
-BEAM = 100
+BEAM = 128
 ALPHA = 1.2
 BATCH = 256
 EXPAND = 4
 
 
-def lifted(x: np.ndarray) -> np.ndarray:
-    """The points with one more coordinate that gives all the same norm."""
-    norms = (x.astype(np.float64) ** 2).sum(1)
-    return np.concatenate([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], 1).astype(np.float32)
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms in double and unit vectors in single precision."""
+    most = np.abs(x).max(1, keepdims=True)
+    unit = x / most
+    length = np.sqrt((unit**2).sum(1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return np.minimum(most * length, np.finfo(float).max)[:, 0], (unit / length).astype(np.float32)
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int):
+def bands(norms: np.ndarray) -> list[int]:
+    """Where bands of falling norms begin, and the end of the last."""
+    edges = [0]
+    while edges[-1] < len(norms):
+        begin = edges[-1]
+        below = int(np.searchsorted(-norms, -norms[begin] / RATIO, side="right"))
+        edges.append(min(len(norms), max(below, begin + LEAST)))
+    return edges
+
+
+def beam_search(points: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int):
     """Ids and inner products of the best found per query (unordered, -1 where empty), and all expanded nodes."""
     n_q, every = len(queries), np.arange(len(queries))[:, None]
     ids = np.full((n_q, beam), -1, np.int64)
     sims = np.full((n_q, beam), -np.inf, np.float32)
-    done = np.ones((n_q, beam), bool)
     seen = np.zeros((n_q, len(points) + 1), bool)  # the last column takes the padding
     seen[:, -1] = True
-    ids[:, 0], sims[:, 0], done[:, 0], seen[:, start] = start, queries @ points[start], False, True
+    seen[:, starts] = True
+    first = queries @ points[starts].T
+    if len(starts) > beam:
+        best = np.argpartition(-first, beam - 1, axis=1)[:, :beam]
+        ids[:], sims[:] = starts[best], np.take_along_axis(first, best, 1)
+    else:
+        ids[:, : len(starts)], sims[:, : len(starts)] = starts, first
+    done = ids < 0
     expanded = []
     while True:
         rank = np.where(done, -np.inf, sims)
@@ -95,17 +121,32 @@ def prune(points: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int = D
     return out
 
 
-def build_graph(points: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
+def n_starts(n: int) -> int:
+    return min(n, 64 + 2 * (n // DEGREE))
+
+
+def spread_order(points: np.ndarray, seed: int) -> np.ndarray:
+    """All points at random, but half the starts first, each the farthest from those before it."""
+    order = np.random.default_rng(seed).permutation(len(points))
+    far, chosen = [int(order[0])], points @ points[order[0]]
+    while len(far) < n_starts(len(points)) // 2:
+        far.append(int(np.argmin(chosen)))
+        chosen = np.maximum(chosen, points @ points[far[-1]])
+    first = np.array(list(dict.fromkeys(far)))  # a set of near copies may give a point twice
+    return np.concatenate([first, order[~np.isin(order, first)]])
+
+
+def build_graph(points: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Neighbour lists (-1 for none) of all points, and where searches start."""
     n = len(points)
     graph = np.full((n + 1, DEGREE), -1, np.int64)  # the last row serves the padding
-    start = int(np.argmax(points @ points.mean(0)))
-    order = np.random.default_rng(seed).permutation(n)
-    order = np.append(start, order[order != start])
+    order = spread_order(points, seed)
+    starts = order[: n_starts(n)]
+    batch = max(16, min(BATCH, (1 << 14) // points.shape[1]))
     at = 1
     while at < n:
-        mine = order[at : at + min(BATCH, max(1, at))]
-        ids, _, expanded = beam_search(points, graph, start, points[mine], BUILD_BEAM)
+        mine = order[at : at + min(batch, max(1, at))]
+        ids, _, expanded = beam_search(points, graph, starts[:at], points[mine], BUILD_BEAM)
         graph[mine] = prune(points, mine, np.concatenate([ids, expanded], 1))
         # reverse edges
         source, target = np.repeat(mine, DEGREE), graph[mine].ravel()
@@ -126,25 +167,40 @@ def build_graph(points: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
             if full.any():
                 graph[nodes[part][full]] = prune(points, nodes[part][full], merged[full])
         at += len(mine)
-    return graph, start
+    return graph, starts
 
 
 def build(group: pd.DataFrame) -> pd.DataFrame:
-    """One row: the graph of one shard and its vectors."""
+    """One row: the graphs of one shard and its vectors, longest first."""
     vectors = np.array(group["vector"].tolist(), np.float64)
-    points = lifted(vectors.astype(np.float32))
-    graph, start = build_graph(points)
-    sizes = group["ids"].map(len).to_numpy()
+    order = np.argsort(-directions(vectors)[0], kind="stable")
+    vectors, names = vectors[order], group["ids"].iloc[order]
+    norms, points = directions(vectors)
+    edges = bands(norms)
+    built = [build_graph(points[low:high]) for low, high in zip(edges, edges[1:], strict=False)]
     row = [
         group["dim"].iloc[0],
         group["shard"].iloc[0],
-        start,
+        np.asarray(edges, np.int64).tobytes(),
+        np.concatenate([s for _, s in built]).astype(np.int32).tobytes(),
         vectors.tobytes(),
-        graph.astype(np.int32).tobytes(),
-        np.concatenate([np.asarray(x, np.int64) for x in group["ids"]]).tobytes(),
-        sizes.astype(np.int32).tobytes(),
+        np.concatenate([g for g, _ in built]).astype(np.int32).tobytes(),
+        np.concatenate([np.asarray(x, np.int64) for x in names]).tobytes(),
+        names.map(len).to_numpy().astype(np.int32).tobytes(),
     ]
-    return pd.DataFrame([row], columns=["dim", "shard", "start", "vectors", "graph", "ids", "sizes"])
+    return pd.DataFrame([row], columns=["dim", "shard", "bands", "starts", "vectors", "graph", "ids", "sizes"])
+
+
+def graphs(row: pd.Series, norms: np.ndarray, points: np.ndarray):
+    """First point, longest norm, points with their norms to that of the longest, graph and starts of each band."""
+    edges = np.frombuffer(row["bands"], np.int64)
+    graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE)
+    starts, at = np.frombuffer(row["starts"], np.int32), 0
+    for b, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        scaled = points[low:high] * (norms[low:high] / norms[low]).astype(np.float32)[:, None]
+        mine = starts[at : at + n_starts(high - low)].astype(np.int64)
+        at += len(mine)
+        yield low, norms[low], scaled, graph[low + b : high + b + 1].astype(np.int64), mine  # one row of padding a graph
 
 
 def search(index: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
@@ -154,28 +210,39 @@ def search(index: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.
         return none
     row = index.iloc[0]
     vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, int(row["dim"]))
-    graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE).astype(np.int64)
+    norms, points = directions(vectors)
+    parts = list(graphs(row, norms, points))
     ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
     begin = np.cumsum(sizes) - sizes
-    points = lifted(vectors.astype(np.float32))
+    beam, batch = max(beam, k + 1), max(16, min(BATCH, (1 << 14) // vectors.shape[1]))
     out = []
-    for at in range(0, len(queries), BATCH):
-        block = queries.iloc[at : at + BATCH]
+    for at in range(0, len(queries), batch):
+        block = queries.iloc[at : at + batch]
         exact = np.array(block["vector"].tolist(), np.float64)
-        probe = np.concatenate([exact, np.zeros((len(exact), 1))], 1).astype(np.float32)
-        found, sims, _ = beam_search(points, graph, int(row["start"]), probe, max(beam, k + 1))
-        best = np.argsort(-sims, 1, kind="stable")[:, : 2 * k + 1]
-        found = np.take_along_axis(found, best, 1)
-        for q, own, spots in zip(exact, block["query_id"], found, strict=True):
-            spots = spots[spots >= 0]
-            score = (vectors[spots] * q).sum(1)
-            take = np.repeat(spots, sizes[spots])
-            inside = np.arange(len(take)) - np.repeat(np.cumsum(sizes[spots]) - sizes[spots], sizes[spots])
-            names, scores = ids[begin[take] + inside], np.repeat(score, sizes[spots])
+        lengths, probe = directions(exact)
+        spots = np.full((len(exact), k + 1), -1, np.int64)
+        scores = np.full((len(exact), k + 1), -np.inf)
+        for low, longest, scaled, graph, starts in parts:
+            open_ = np.flatnonzero(~(lengths * longest * (1 + 1e-9) < scores[:, -1]))
+            if not len(open_):
+                break  # the bands that follow are shorter
+            found, _, _ = beam_search(scaled, graph, starts, probe[open_], beam)
+            found = np.where(found >= 0, found + low, -1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = np.where(found >= 0, (vectors[found] * exact[open_][:, None, :]).sum(2), -np.inf)
+            found, score = np.concatenate([spots[open_], found], 1), np.concatenate([scores[open_], score], 1)
+            first = ids[begin[found]]
+            best = np.lexsort((first, -score))[:, : k + 1]  # ties to the smaller id
+            spots[open_], scores[open_] = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
+        for own, mine, score in zip(block["query_id"], spots, scores, strict=True):
+            mine, score = mine[mine >= 0], score[mine >= 0]
+            take = np.repeat(mine, sizes[mine])
+            inside = np.arange(len(take)) - np.repeat(np.cumsum(sizes[mine]) - sizes[mine], sizes[mine])
+            names, score = ids[begin[take] + inside], np.repeat(score, sizes[mine])
             other = names != own
-            names, scores = names[other], scores[other]
-            top = np.lexsort((names, -scores))[:k]
-            out.append((np.full(len(top), own), names[top], scores[top]))
+            names, score = names[other], score[other]
+            top = np.lexsort((names, -score))[:k]
+            out.append((np.full(len(top), own), names[top], score[top]))
     return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
 
@@ -195,7 +262,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     shards = points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     dealt = points.join(F.broadcast(shards), "dim")  # one row per length of vector
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")))
-    schema = "dim int, shard long, start long, vectors binary, graph binary, ids binary, sizes binary"
+    schema = "dim int, shard long, bands binary, starts binary, vectors binary, graph binary, ids binary, sizes binary"
     return keep(dealt.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInPandas(build, schema), "index")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortline.llm import ann, chat
@@ -99,8 +100,53 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(ann.build_index(table.where("false")), table).count() == 0
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def kinds(n, d):
+    """Vectors of one length, of unequal lengths, with a tight third, and in many groups of near copies."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(n, d))
+    tight = unit(base)
+    tight[: n // 3] = unit(unit(rng.normal(size=(1, d))) + 0.02 * rng.normal(size=(n // 3, d)))
+    copies = unit(np.repeat(unit(rng.normal(size=(n // 40, d))), 40, 0) + 0.01 * rng.normal(size=(n // 40 * 40, d)))
+    return {
+        "unit": unit(base),
+        "gauss": base,
+        "uniform": unit(base) * rng.uniform(0.5, 2, (n, 1)),
+        "lognormal": unit(base) * rng.lognormal(0, 1, (n, 1)),
+        "tight": tight,
+        "copies": copies,
+        "huge": unit(base) * 1e60,
+    }
+
+
+@pytest.mark.parametrize("kind", ["unit", "gauss", "uniform", "lognormal", "tight", "copies", "huge"])
+def test_recall_on_a_large_shard(kind):
+    x = kinds(4000, 64)[kind]
+    index = ann.build(pd.DataFrame({"dim": 64, "shard": 0, "vector": list(x), "ids": [[i] for i in range(len(x))]}))
+    own = np.random.default_rng(2).permutation(len(x))[:200]
+    found = ann.search(index, pd.DataFrame({"query_id": own, "vector": list(x[own])}), ann.K, ann.BEAM)
+    recall = []
+    for q, mine in found.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(set(np.argpartition(-score, ann.K)[: ann.K]) & set(mine["vec_id"])) / ann.K)
+    assert len(recall) == 200 and np.mean(recall) >= 0.98 and min(recall) >= 0.5
+
+
+def test_bands_cover_all_points():
+    norms = np.sort(np.random.default_rng(4).lognormal(0, 2, 3000))[::-1]
+    edges = ann.bands(norms)
+    assert edges[0] == 0 and edges[-1] == 3000 and edges == sorted(set(edges))
+    for low, high in zip(edges, edges[1:], strict=False):
+        assert high - low <= ann.LEAST or norms[low] <= norms[high - 1] * ann.RATIO
+    assert ann.bands(np.ones(1)) == [0, 1] and ann.bands(np.full(5000, np.finfo(float).max)) == [0, 5000]
+
+
 def test_pruning_keeps_diverse_neighbours():
-    points = ann.lifted(np.array([[1, 0], [1, 0.05], [1, 0.06], [-1, 0.1], [0, 1]], np.float32))
+    points = ann.directions(np.array([[1, 0, 0.5], [1, 0.05, 0.5], [1, 0.06, 0.5], [-1, 0.1, 0.5], [0, 1, 0.5]]))[1]
     kept = ann.prune(points, np.array([0]), np.array([[1, 2, 3, 4]]), degree=3)[0]
     assert kept[0] == 1 and 2 not in kept
 
