@@ -12,22 +12,53 @@ from pyspark.sql import functions as F
 from cohortline.operators.skew import as_list
 
 
-def _id_counts(ids: Sequence[str]) -> list[Column]:
+def _value_counts(df: DataFrame, ids: Sequence[str], *groups: Column) -> tuple[DataFrame, list[str], Column]:
+    """Rows per group, id column (``_which``) and value, the columns that hold the values, and whether a value is there.
+
+    Every row is unpivoted to one narrow row per id, which are combined before they shuffle.  Values keep
+    their type, in one column per type, so that they are told apart exactly.
+    """
+    types = [df.select(c).schema[0].dataType for c in ids]
+    kinds = list(dict.fromkeys(types))
+    values = [f"_v{j}" for j in range(len(kinds))]
+    cells = [
+        F.struct(F.lit(i).alias("_which"), *[(F.col(c) if t == kind else F.lit(None).cast(kind)).alias(v) for v, kind in zip(values, kinds)])
+        for i, (c, t) in enumerate(zip(ids, types))
+    ]
+    narrow = df.select(*groups, F.explode(F.array(*cells)).alias("_cell"))
+    keys = narrow.columns[: len(groups)]
+    counted = narrow.select(*keys, "_cell.*").groupBy(*keys, "_which", *values).agg(F.count(F.lit(1)).alias("_rows"))
+    return counted, values, reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
+
+
+def _id_counts(ids: Sequence[str], rows: str, unique: str) -> list[Column]:
+    """Three columns per id from the counts of its non-NULL rows and values."""
     out = []
-    for c in ids:
-        n, u = F.count(c), F.count_distinct(c)
+    for i, c in enumerate(ids):
+        n, u = (F.coalesce(F.sum(F.when(F.col("_which") == i, F.col(x))), F.lit(0)) for x in (rows, unique))
         out += [n.alias(f"{c}_n"), u.alias(f"{c}_unique"), (n - u).alias(f"{c}_diff")]
     return out
 
 
 def audit_unique(df: DataFrame, *ids: str) -> DataFrame:
     """Count, distinct count and their difference per id column, one row."""
-    return df.agg(*_id_counts(ids))
+    counted, _, there = _value_counts(df, ids)
+    marked = counted.select("_which", F.when(there, F.col("_rows")).alias("_n"), F.when(there, 1).alias("_u"))
+    return marked.agg(*_id_counts(ids, "_n", "_u"))
 
 
 def audit_unique_rollup(df: DataFrame, group: str, *ids: str) -> DataFrame:
-    """The same per group with a total row; ``is_total`` tells it from a NULL group."""
-    return df.rollup(group).agg(F.grouping(group).cast("int").alias("is_total"), *_id_counts(ids))
+    """The same per group with a total row; ``is_total`` tells it from a NULL group.
+
+    The total is taken from the values of the groups, not from a second copy of the rows.
+    """
+    counted, values, there = _value_counts(df, ids, F.col(group).alias("_group"))
+    n, u = F.sum(F.when(there, F.col("_rows"))).alias("_n"), F.count_if(there).alias("_u")
+    each = counted.groupBy("_group", "_which").agg(n, u).withColumn("is_total", F.lit(0))
+    over = counted.groupBy("_which", *values).agg(F.sum("_rows").alias("_rows")).groupBy("_which").agg(n, u)
+    total = over.withColumn("_group", F.lit(None).cast(df.select(group).schema[0].dataType)).withColumn("is_total", F.lit(1))
+    both = each.unionByName(total).groupBy("_group", "is_total").agg(*_id_counts(ids, "_n", "_u"))
+    return both.withColumnRenamed("_group", group)
 
 
 def audit_composite(df: DataFrame, *keys: str) -> DataFrame:

@@ -115,6 +115,30 @@ def test_audits(spark):
     assert {tuple(r) for r in O.null_profile(df, ["id", "g"]).collect()} == {(0, 0, 2), (0, 1, 1), (1, 0, 1)}
 
 
+def test_unique_counts_take_one_narrow_pass(spark):
+    long = F.when(F.col("id") % 7 != 0, F.col("id") % 50).cast("long")
+    text = F.when(F.col("id") % 3 != 0, (F.col("id") % 11).cast("string"))
+    number = F.when(F.col("id") % 4 == 0, F.lit(float("nan"))).when(F.col("id") % 4 == 1, F.lit(-0.0)).when(F.col("id") % 4 == 2, F.lit(0.0))
+    df = spark.range(4000).select(
+        long.alias("a"), text.alias("b"), (F.col("id") % 11).cast("string").alias("c"), number.alias("d"), F.lit(None).cast("date").alias("e"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 5).alias("g"), F.lit("x" * 500).alias("wide"),
+    )
+    ids = ["a", "b", "c", "d", "e"]
+    plain = [x for c in ids for x in (F.count(c).alias(f"{c}_n"), F.count_distinct(c).alias(f"{c}_unique"), (F.count(c) - F.count_distinct(c)).alias(f"{c}_diff"))]
+    one, many = O.audit_unique(df, *ids), O.audit_unique_rollup(df, "g", *ids)
+    assert one.columns == df.agg(*plain).columns and rows(one) == rows(df.agg(*plain))
+    wanted = df.rollup("g").agg(F.grouping("g").cast("int").alias("is_total"), *plain)
+    assert many.dtypes == wanted.dtypes and {tuple(r) for r in many.collect()} == {tuple(r) for r in wanted.collect()}
+    assert many.count() == wanted.count() == 6
+    for out in (one, many):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "wide" not in plan
+    assert rows(O.audit_unique(df.where("false"), "a", "b")) == [(0, 0, 0, 0, 0, 0)]
+    assert O.audit_unique_rollup(df.where("false"), "g", "a").count() == 0
+    only = df.select("g", F.lit(None).cast("int").alias("a")).distinct()  # groups whose ids are all NULL stay
+    assert {(r.g, r.is_total, r.a_n) for r in O.audit_unique_rollup(only, "g", "a").collect()} == {(g, 0, 0) for g in (None, 1, 2, 3, 4)} | {(None, 1, 0)}
+
+
 def test_compare(spark):
     a = spark.createDataFrame([("x", 4), ("y", 1)], "s string, a bigint")
     b = spark.createDataFrame([("x", 5), ("z", 2)], "s string, b bigint")
