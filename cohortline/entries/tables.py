@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohortline import sources as S
-from cohortline.session import configure, new_folder
+from cohortline.operators import with_stages
+from cohortline.session import configure, keep, new_folder
 
 
 def orders(spark, folder):
@@ -69,6 +70,31 @@ def audited_orders(spark, folder):
     return rows.select(*[F.lit(v).cast("long").alias(k) for k, v in figures.items()], F.lit(held.audits["last_day"]).alias("last_day"), "read_back")
 
 
+KINDS = ["view", "click", "purchase", "error"]
+
+
+def bucketed_stages(spark, folder):
+    """Eight stages and their people, each stored in buckets of the person, attached without a shuffle."""
+    ev = S.table_from(configure(spark), folder, "events").where("user_id IS NOT NULL")
+    times = keep(ev.groupBy("user_id", "event_type").agg(F.min("ts").alias("first"), F.max("ts").alias("last")), "times")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stored(kind, pick, column):
+        name = fresh_name("t_stage")
+        S.overwrite_bucketed(times.where(F.col("event_type") == kind).select("user_id", F.col(pick).alias(column)), name, "user_id", buckets)
+        return S.read_table(spark, name)
+
+    people = stored("signup", "first", "signup_ts")
+    return with_stages(people, {f"{pick}_{kind}": stored(kind, pick, f"{pick}_{kind}_ts") for kind in KINDS for pick in ("first", "last")}, "user_id")
+
+
+STAGES_SQL = ", ".join(
+    f"""CASE WHEN count(*) FILTER (event_type = '{kind}') > 0 THEN 1 ELSE 0 END AS {pick}_{kind},
+    {how}(ts) FILTER (event_type = '{kind}') AS {pick}_{kind}_ts"""
+    for kind in KINDS
+    for pick, how in (("first", "min"), ("last", "max"))
+)
+
 ORDERS_SQL = """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS day,
     CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders)"""
 
@@ -88,6 +114,11 @@ ENTRIES = {
         """SELECT 'P' || CAST(p_size AS VARCHAR) AS program, CAST(p_partkey % 2 AS INTEGER) AS sc1, CAST(p_partkey // 2 % 2 AS INTEGER) AS sc2,
         CAST(p_partkey // 4 % 2 AS INTEGER) AS sc3, CAST(p_partkey // 8 % 2 AS INTEGER) AS sc4, CAST(p_partkey % 3 + 1 AS INTEGER) AS seq, p_name AS product FROM part""",
     ),
+    "bucketed_stages": (
+        bucketed_stages,
+        f"""SELECT user_id, min(ts) FILTER (event_type = 'signup') AS signup_ts, {STAGES_SQL} FROM events
+        WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') > 0""",
+    ),
     "audited_orders": (
         audited_orders,
         f"""{ORDERS_SQL} SELECT count(*) AS "rows", count(*) - count(c_custkey) AS unmatched, count(c_custkey) AS matched, count(*) - count(day) AS null_days,

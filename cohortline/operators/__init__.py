@@ -49,6 +49,7 @@ from cohortline.operators.stages import (
     funnel_flags,
     stamp_refresh,
     with_stage,
+    with_stages,
 )
 from cohortline.operators.survey import (
     apply_rules,

@@ -32,6 +32,16 @@ def with_stage(
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in filled}) if filled else out
 
 
+def with_stages(base: DataFrame, stages: Mapping[str, DataFrame], on: str | Sequence[str]) -> DataFrame:
+    """Left join several stages (one row per key each) by the same key; each name becomes the stage's 0/1 flag.
+
+    Frames read from tables in equal buckets of the key (``overwrite_bucketed``) are joined where they lie.
+    """
+    for name, stage in stages.items():
+        base = with_stage(base, stage, on, name)
+    return base
+
+
 def direct_vs_via(middle: str | Column, end: str | Column) -> dict[str, Column]:
     """Reached the end without, or by way of, the middle step (for ``withColumns``)."""
     mid = F.coalesce(F.col(middle) if isinstance(middle, str) else middle, F.lit(0)) == 1

@@ -6,7 +6,9 @@ and a period holding most of the rows is split over several tasks and files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,7 +34,11 @@ def overwrite_table(df: DataFrame, name: str, schema: str = "replace", fmt: str
     if fmt == "delta":  # replaces the table in one commit
         writer.mode("overwrite").option("overwriteSchema" if schema == "replace" else "mergeSchema", "true").saveAsTable(name)
         return
-    # the old table steps aside when the new one is whole, and goes when that stands in its place
+    _replace(spark, writer, name)
+
+
+def _replace(spark: SparkSession, writer: DataFrameWriter, name: str) -> None:
+    """The old table steps aside when the new one is whole, and goes when that stands in its place."""
     fresh, old = f"{name}__fresh", f"{name}__old"
     for left in (fresh, old):
         spark.sql(f"DROP TABLE IF EXISTS {left}")
@@ -48,6 +54,17 @@ def overwrite_table(df: DataFrame, name: str, schema: str = "replace", fmt: str
     spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
+def overwrite_bucketed(df: DataFrame, name: str, by: str | Sequence[str], buckets: int) -> None:
+    """Rewrite a table in buckets of a key, sorted by it, one file a bucket.
+
+    Tables with the same key (type included) and number of buckets are joined on it, and grouped by it, without a
+    shuffle, so each stage pays one when it is written and none when it is attached.  Meant for
+    frames with about one row per key: all rows of a key are in one bucket, those without a key too.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    _replace(df.sparkSession, df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys), name)
+
+
 def overwrite_partitioned(df: DataFrame, name: str, path: str, by: str, fmt: str = "parquet") -> None:
     """Rewrite an external table partitioned by a period column."""
     df.hint("rebalance", by).write.format(fmt).mode("overwrite").partitionBy(by).option("path", path).saveAsTable(name)

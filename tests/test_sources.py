@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cohortline import operators as O
 from cohortline import sources as S
 from cohortline.session import keep
 
@@ -69,3 +70,29 @@ def test_table_from_reads_declared_columns(spark, sf):
         declared = S.table_from(spark, f"/root/testdata/sf{sf}", name)
         found = spark.read.parquet(f"/root/testdata/sf{sf}/{name}.parquet")
         assert declared.schema.simpleString() == found.schema.simpleString()
+
+
+def test_stored_stages_are_attached_without_a_shuffle(spark):
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = [f"t_bucketed_{i}" for i in range(9)]
+    spark.conf.set(key, "-1")
+    try:
+        for i, name in enumerate(names):
+            for step in (7, i + 1):  # written twice: the second replaces the first, buckets stay
+                S.overwrite_bucketed(spark.range(0, 500, step).select(F.col("id").alias("k"), (F.col("id") * i).alias(f"v{i}")), name, "k", 4)
+        base, *stages = [S.read_table(spark, name) for name in names]
+        out = O.with_stages(base, {f"s{i + 1}": stage for i, stage in enumerate(stages)}, "k")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 8
+        got = {r["k"]: r for r in out.collect()}
+        assert set(got) == set(range(500)) and "Exchange" not in out.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        for k, r in got.items():
+            for i in range(1, 9):
+                there = k % (i + 1) == 0
+                assert (r[f"s{i}"], r[f"v{i}"]) == ((1, k * i) if there else (0, None))
+        empty = base.where("false")
+        assert O.with_stages(empty, {"s": stages[0]}, "k").count() == 0 and O.with_stages(base, {}, "k").count() == 500
+    finally:
+        spark.conf.set(key, before)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
