@@ -22,6 +22,10 @@ Everything learned covers every training row:
 - all others meet their counts by a join, as rows of document and word hash, so no word is left out
   and no frequent word makes a large group.
 
+The column ``lattice_score`` is the lattice alone: the log10 of the marginal probability of the whole text, its
+end included, under the vocabulary's own scores, with nothing learned.  ``score`` is the word model's, which predicts
+held-out text far better, because words seen in training are more likely than their pieces say.
+
 Words are compared by a 64-bit hash.  Null text reads as empty: one token, the end.  A null
 id counts as the empty string for the split; repeated rows are scored each.  Without training rows the
 lattice alone scores.
@@ -274,8 +278,9 @@ def score_rows(path: str, shared, ends: int, total: int, discount: float, share:
 
     def run(batches):
         (known, n_known), learned = shared.value
-        model = lattice(path).using(*learned)
-        cache = (np.zeros(0, np.uint64), np.zeros(0))
+        given = lattice(path)
+        model = given.using(*learned)
+        cache = (np.zeros(0, np.uint64), np.zeros((2, 0)))
 
         def model_log(c, marginal):
             if not total:
@@ -288,15 +293,17 @@ def score_rows(path: str, shared, ends: int, total: int, discount: float, share:
             words, first, back = np.unique(hashes, return_index=True, return_inverse=True)
             spot = np.minimum(np.searchsorted(cache[0], words), max(len(cache[0]) - 1, 0))
             old = cache[0][spot] == words if len(cache[0]) else np.zeros(len(words), bool)
-            marginal = np.zeros(len(words))
-            marginal[old] = cache[1][spot[old]]
+            both = np.zeros((2, len(words)))  # under the learned and under the given scores
+            both[:, old] = cache[1][:, spot[old]]
             new = ~old
-            marginal[new] = model.words(data, start[first[new]], end[first[new]])
+            for k, used in enumerate((model, given)):
+                both[k, new] = used.words(data, start[first[new]], end[first[new]])
             keys = np.concatenate([cache[0], words[new]])
             order = np.argsort(keys, kind="stable")
-            cache = (keys[order], np.concatenate([cache[1], marginal[new]])[order])
+            cache = (keys[order], np.concatenate([cache[1], both[:, new]], axis=1)[:, order])
             if len(keys) > 1_000_000:
-                cache = (np.zeros(0, np.uint64), np.zeros(0))
+                cache = (np.zeros(0, np.uint64), np.zeros((2, 0)))
+            marginal, plain = both
 
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
             hit = known[at] == words if len(known) else np.zeros(len(words), bool)
@@ -314,9 +321,10 @@ def score_rows(path: str, shared, ends: int, total: int, discount: float, share:
                     pa.array(np.bincount(row[often], minlength=n) + int(ends > 0)),
                     pa.array(sums(base) + np.log10(ends + 1)),
                     pa.array(sums(value) + model_log(float(ends), np.array(model.end))),
+                    pa.array((sums(plain) + given.end) / np.log(10)),
                     pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(signed(rare)), pa.array((marginal[back] / np.log(10))[~often])], ["word", "m"])),
                 ],
-                ["row_id", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                ["row_id", "doc_id", "n_tokens", "n_known", "base", "score", "lattice_score", "rare"],
             )
 
     return run
@@ -360,7 +368,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         table = (word[order], n[order])
     shared = spark.sparkContext.broadcast((table, model.learned(expected, ends)))
 
-    schema = "row_id long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word: long, m: double>>"
+    schema = "row_id long, doc_id long, n_tokens long, n_known long, base double, score double, lattice_score double, rare array<struct<word: long, m: double>>"
     keyed = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
     scored = keep(keyed.mapInArrow(score_rows(vocabulary, shared, ends, total, discount, share), schema), "scores")
     rare = scored.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.m")
@@ -382,4 +390,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base") - F.col("n_tokens") * F.lit(float(np.log10(total + words + 1)))).alias("base_score"),
         (F.col("score") + zero("more_score")).alias("score"),
+        "lattice_score",
     )

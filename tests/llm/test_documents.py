@@ -126,6 +126,54 @@ def test_base_scores_and_a_lattice_that_counts_every_segmentation(docs):
         assert expected.sum() > 0
 
 
+def test_scores_are_sums_over_all_segmentations(spark):
+    """Whole short texts, known and unknown words: the lattice's own score and the word model, by brute force."""
+    rows = [(i, t) for i, t in enumerate(["The cat sat", "a cat é x漢y", "cat cat of ab", "", None, "a dog", "of the…", "sat a a"] * 3)]
+    found = {r["doc_id"]: r for r in lm_score.score(table(spark, rows)).collect()}
+    model = lm_score.lattice(lm_score.VOCABULARY)
+    given = dict(zip(model.names, model.values))
+
+    def ways(s, piece, byte):
+        """All segmentations of ``s``: (log probability, pieces used)."""
+        if not s:
+            return [(0.0, [])]
+        steps = [(piece[s[:k]], s[:k]) for k in range(1, len(s) + 1) if s[:k] in piece]
+        if s[0] not in piece:
+            steps.append((byte * len(s[0].encode()), s[0]))
+        return [(p + q, [x, *rest]) for p, x in steps for q, rest in ways(s[len(x) :], piece, byte)]
+
+    def marginal(word, piece, byte):
+        return sum(math.exp(p) for p, _ in ways("▁" + word, piece, byte))
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    words = {d: WORD.findall((t or "").translate(lower)) for d, t in rows}
+    counts = collections.Counter(w for d, ws in words.items() if not held(d) for w in ws)
+    ends = sum(not held(d) for d in words)
+    expected = collections.Counter()
+    for w, c in counts.items():
+        found_ways = ways("▁" + w, given, model.byte)
+        whole = sum(math.exp(p) for p, _ in found_ways)
+        for p, used in found_ways:
+            for x in used:
+                expected[x if x in given else ""] += c * math.exp(p) / whole * (1 if x in given else len(x.encode()))
+    total = sum(expected.values()) + ends + lm_score.PRIOR
+    learned = {x: math.log((expected[x] + lm_score.PRIOR * math.exp(v)) / total) for x, v in given.items()}
+    byte = math.log((expected[""] + lm_score.PRIOR * lm_score.BYTE_SHARE) / total / 256)
+    end = (ends + lm_score.PRIOR * math.exp(model.end)) / total
+    tokens, kinds, seen = sum(counts.values()) + ends, len(counts) + 1, collections.Counter([*counts.values(), ends])
+    discount = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] and seen[2] else 0.75
+
+    def log(c, m):
+        return math.log10(max(c - discount, 0) / tokens + discount * kinds / tokens * m)
+
+    for d, ws in words.items():
+        plain = sum(math.log10(marginal(w, given, model.byte)) for w in ws) + model.end / math.log(10)
+        score = sum(log(counts[w], marginal(w, learned, byte)) for w in ws) + log(ends, end)
+        assert math.isclose(found[d]["lattice_score"], plain, rel_tol=1e-9), d
+        assert math.isclose(found[d]["score"], score, rel_tol=1e-9), d
+
+
 def test_lattice_scores_improve_on_the_training_rows_and_order_held_out_text(spark):
     rows = [(i, "the cat sat on the mat and the dog ran to the cat " * 3) for i in range(40)]
     rows += [(100 + i, "zqxv wqzk jjxq vvkz qqzx") for i in range(40) if zlib.crc32(str(100 + i).encode()) % 7 == 2]
@@ -280,6 +328,30 @@ def test_mixture_meets_its_targets(spark, docs):
     assert took.columns[: len(docs.columns)] == docs.columns and took.where("mix_taken <= 0").count() == 0
 
 
+def test_shards_pick_whole_blocks_by_quota():
+    """Every block is taken whole or not at all, as many as the quota says, also where shards are smaller than a block."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(3)
+    for block in (1, 7, 40):
+        for extra in (0, 1, 9, 10**6):
+            size = [rng.choice([0, 1, 5, 90, 300]) for _ in range(30)]
+            whole = sum(size)
+            extra = min(extra, -(-whole // block))
+            frame = pd.DataFrame({"source": None, "shard": range(30), "words": size, "extra": extra}).sample(frac=1, random_state=1)
+            out = mixing.shard_quotas(block, 5)(frame)
+            taken, at = np.zeros(whole, int), 0
+            for r, n in zip(out.to_dict("records"), size):
+                assert r["start"] == at
+                for low, high in ((r["a"], r["b"]), (r["c"], r["d"]), (r["e"], r["f"])):
+                    taken[max(low, at) : max(min(high, at + n), max(low, at))] += 1
+                at += n
+            blocks = [set(taken[k : k + block]) for k in range(0, whole, block)]
+            assert all(len(b) == 1 and b <= {0, 1} for b in blocks)
+            assert sum(max(b) for b in blocks) == extra == out["quota"].sum()
+
+
 def test_mixture_fills_small_sources(spark):
     """Also where a block of the whole mix is larger than a source's shards, or than the source."""
     counts = {"a": (4, 25), "b": (400, 500), "c": (300, 400), "d": (1, 3)}
