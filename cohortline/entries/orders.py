@@ -51,7 +51,10 @@ from cohortline.operators import (
     running_units,
     salted_join,
     status_asof_flag,
+    status_intervals,
+    status_profile,
     term_metrics,
+    time_cells,
 )
 from cohortline.session import configure
 from cohortline.sources import table_from
@@ -217,6 +220,19 @@ def status_asof(spark, folder):
     )
 
 
+def intervals(spark, folder):
+    history = orders(spark, folder).select("o_custkey", F.to_date("o_orderdate").alias("status_date"), "o_orderkey", "o_orderstatus")
+    heavy = heavy_keys(history, "o_custkey")
+    found = status_intervals(history, "o_custkey", "status_date", "o_orderstatus", "o_orderkey", heavy, time_cells(history, "o_custkey", "status_date", heavy))
+    return found, heavy
+
+
+def profile(spark, folder):
+    base = customer(spark, folder).select(F.col("c_custkey").alias("o_custkey"), F.lit(date(1997, 1, 1)).alias("anchor"))
+    found, heavy = intervals(spark, folder)
+    return status_profile(base, found, "o_custkey", "anchor", {"done": ["F"], "open": ["O", "P"]}, (30, 365), heavy)
+
+
 def likert(spark, folder):
     scale = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4}
     code = likert_code("o_orderpriority", scale)
@@ -423,6 +439,24 @@ ENTRIES = {
         SELECT o_custkey, CASE WHEN st LIKE 'F%' THEN 1 ELSE 0 END AS done_flag, CASE WHEN st LIKE 'F%' THEN d END AS done_date,
           CASE WHEN st LIKE 'O%' OR st LIKE 'P%' THEN 1 ELSE 0 END AS open_flag, CASE WHEN st LIKE 'O%' OR st LIKE 'P%' THEN d END AS open_date FROM l""",
     ),
+    "status_intervals": (
+        lambda s, d: intervals(s, d)[0],
+        """SELECT o_custkey, CAST(o_orderdate AS DATE) AS valid_from, o_orderstatus AS status,
+          lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey, o_orderstatus) AS valid_to
+        FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL""",
+    ),
+    "status_profile": (
+        profile,
+        """WITH h AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_orderstatus AS st FROM orders),
+        a AS (SELECT c_custkey, arg_max(st, (d, k)) FILTER (WHERE d <= DATE '1997-01-01') AS st, max(d) FILTER (WHERE d <= DATE '1997-01-01') AS since_day,
+            CAST(count(*) FILTER (WHERE d <= DATE '1997-01-01' AND st LIKE 'F%') > 0 AS INTEGER) AS done_ever,
+            CAST(count(*) FILTER (WHERE d <= DATE '1997-01-01' AND (st LIKE 'O%' OR st LIKE 'P%')) > 0 AS INTEGER) AS open_ever,
+            arg_max(st, (d, k)) FILTER (WHERE d <= DATE '1997-01-31') AS status_30d, arg_max(st, (d, k)) FILTER (WHERE d <= DATE '1998-01-01') AS status_365d
+          FROM customer LEFT JOIN h ON o_custkey = c_custkey GROUP BY 1)
+        SELECT c_custkey AS o_custkey, CASE WHEN st LIKE 'F%' THEN 1 ELSE 0 END AS done_flag, CASE WHEN st LIKE 'F%' THEN since_day END AS done_date, done_ever,
+          1 - done_ever AS done_never, CASE WHEN st LIKE 'O%' OR st LIKE 'P%' THEN 1 ELSE 0 END AS open_flag,
+          CASE WHEN st LIKE 'O%' OR st LIKE 'P%' THEN since_day END AS open_date, open_ever, 1 - open_ever AS open_never, status_30d, status_365d FROM a""",
+    ),
     "likert_code": (
         likert,
         """WITH c AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3

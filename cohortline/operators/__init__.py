@@ -27,6 +27,8 @@ from cohortline.operators.history import (
     retention_avg,
     running_units,
     status_asof_flag,
+    status_intervals,
+    status_profile,
     term_metrics,
 )
 from cohortline.operators.matching import event_kinds, first_product, match_ids, outcomes, product_labels

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.recode import flag
 from cohortline.operators.asof import asof_backward_last
+from cohortline.operators.ordered import time_cell
 from cohortline.operators.skew import as_list, salted_join
 from cohortline.operators.stages import with_stage
 
@@ -47,6 +48,77 @@ def status_asof_flag(
     return found.select(*as_list(on), *cols)
 
 
+def status_intervals(
+    history: DataFrame,
+    on: str | Sequence[str],
+    ts: str,
+    status: str,
+    tie: str | Sequence[str] = (),
+    heavy: Sequence[int] = (),
+    cuts: Sequence[int] = (),
+) -> DataFrame:
+    """The history as intervals [valid_from, valid_to) that do not overlap, one per row: keys, both ends, ``status``.
+
+    A status holds until the next row of its key by ``ts``, ``tie`` and status; the last one's end is NULL.  Rows of
+    one time follow each other, so all but the last are empty intervals, which as-of reads skip and "ever" counts.
+    Rows whose key or time is NULL are in no interval.  ``heavy`` are key hashes as ``heavy_keys`` finds them; with
+    ``cuts`` of ``time_cells`` such a key is ordered cell by cell, and each cell ends where the next begins.
+    """
+    on, tie = as_list(on), as_list(tie)
+    known = history.dropna(subset=[*on, ts])
+    kind = history.schema[ts].dataType.simpleString()
+    extra = [F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)]
+    rows = known.select(*on, F.col(ts).alias("valid_from"), F.col(status).alias("status"), *extra)
+    rows = rows.withColumn("_cell", time_cell(on, F.col("valid_from"), kind, heavy, cuts))
+    order = Window.partitionBy(*on, "_cell").orderBy("valid_from", *[f"_t{i}" for i in range(len(tie))], "status")
+    rows = rows.withColumn("valid_to", F.lead("valid_from").over(order))
+    if heavy and cuts:
+        # where the next cell of a heavy key begins: one row per heavy key and cell
+        begins = known.where(F.xxhash64(*on).isin(*heavy)).groupBy(*on, time_cell(on, F.col(ts), kind, heavy, cuts).alias("_cell")).agg(F.min(ts).alias("_b"))
+        begins = begins.select(*on, "_cell", F.lead("_b").over(Window.partitionBy(*on).orderBy("_cell")).alias("_next"))
+        rows = rows.join(F.broadcast(begins), [*on, "_cell"], "left").withColumn("valid_to", F.coalesce("valid_to", "_next"))
+    return rows.select(*on, "valid_from", "valid_to", "status")
+
+
+def status_profile(
+    base: DataFrame,
+    intervals: DataFrame,
+    on: str | Sequence[str],
+    anchor: str,
+    marks: Mapping[str, Sequence[str]],
+    days: Sequence[int] = (),
+    heavy: Sequence[int] = (),
+) -> DataFrame:
+    """Per key of ``base`` what its intervals say about the anchor (the earliest of the key), in one pass over them.
+
+    ``marks`` maps a name to status prefixes; each gives ``<name>_flag`` (held at the anchor), ``<name>_date`` (the begin of
+    that interval, only where the flag is 1), ``<name>_ever`` (began at/before the anchor at any time, however
+    short) and ``<name>_never`` (its opposite).  ``days`` adds ``status_<n>d``, the status held that many days after the anchor.
+    Keys without history, and those whose anchor is NULL, have flags 0, never 1 and NULL elsewhere.
+    """
+    keys = as_list(on)
+    anchors = base.groupBy(*keys).agg(F.min(anchor).alias("_anchor"))
+    met = salted_join(intervals, anchors, keys, "inner", heavy, ["valid_from"])
+
+    def held(at):
+        return (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at))
+
+    parts = []
+    for name, prefixes in marks.items():
+        hit = F.coalesce(prefix_match("status", prefixes), F.lit(False))
+        parts += [
+            F.max(F.when(hit & held(F.col("_anchor")), F.col("valid_from"))).alias(f"{name}_date"),
+            F.max(F.when(hit & (F.col("valid_from") <= F.col("_anchor")), 1)).alias(f"{name}_ever"),
+        ]
+    parts += [F.max(F.when(held(F.col("_anchor") + F.make_interval(days=F.lit(n))), F.col("status"))).alias(f"status_{n}d") for n in days]
+    found = anchors.join(met.groupBy(*keys).agg(*parts), keys, "left")
+    out = []
+    for name in marks:
+        ever = F.coalesce(F.col(f"{name}_ever"), F.lit(0))
+        out += [flag(F.col(f"{name}_date").isNotNull()).alias(f"{name}_flag"), f"{name}_date", ever.alias(f"{name}_ever"), (1 - ever).alias(f"{name}_never")]
+    return found.select(*keys, *out, *[f"status_{n}d" for n in days])
+
+
 def retention_at(
     base: DataFrame,
     snaps: DataFrame,

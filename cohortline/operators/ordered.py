@@ -32,7 +32,8 @@ def time_cells(events: DataFrame, on: str | Sequence[str], ts: str, heavy: Seque
     return sorted(set(found))
 
 
-def _cell(on: Sequence[str], ts: Column, kind: str, heavy: Sequence[int], cuts: Sequence[int]) -> Column:
+def time_cell(on: Sequence[str], ts: Column, kind: str, heavy: Sequence[int], cuts: Sequence[int]) -> Column:
+    """The number of a row's cell: 0 for ordinary keys, the place of its time among the cuts for heavy ones."""
     if not heavy or not cuts:
         return F.lit(0)
     number = F.unix_date(ts) if kind == "date" else F.unix_micros(ts.cast("timestamp"))
@@ -79,7 +80,7 @@ def asof_each(
         daily.select(*on, "_t", "_e", F.lit(first).alias("_o"))
         .unionByName(times.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*on, "_t"))).withColumn("_o", F.lit(1 - first)), allowMissingColumns=True)
         .withColumn("_found", F.when(F.col("_e").isNotNull(), F.struct(F.col("_t").alias("_at"), "_e")))
-        .withColumn("_cell", _cell(on, F.col("_t"), kind, heavy, cuts))
+        .withColumn("_cell", time_cell(on, F.col("_t"), kind, heavy, cuts))
     )
     order = [F.col("_t").desc() if forward else F.col("_t").asc(), F.col("_o")]
     inside = Window.partitionBy(*on, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,7 +89,7 @@ def asof_each(
         # one row per key and cell that has events: the event it hands to the following cells
         far = (F.min_by if forward else F.max_by)("_found", "_t")
         given = stream.where(F.col("_e").isNotNull()).groupBy(*on, "_cell").agg(far.alias("_carry"))
-        met = times.where(F.xxhash64(*on).isin(*heavy)).withColumn("_cell", _cell(on, F.col("_t"), kind, heavy, cuts)).select(*on, "_cell").distinct()
+        met = times.where(F.xxhash64(*on).isin(*heavy)).withColumn("_cell", time_cell(on, F.col("_t"), kind, heavy, cuts)).select(*on, "_cell").distinct()
         ahead = Window.partitionBy(*on).orderBy(F.col("_cell").desc() if forward else F.col("_cell").asc()).rowsBetween(Window.unboundedPreceding, -1)
         both = given.unionByName(met.withColumn("_carry", F.lit(None).cast(given.schema["_carry"].dataType))).groupBy(*on, "_cell").agg(F.first("_carry", ignorenulls=True).alias("_carry"))
         carried = both.withColumn("_before", F.last("_carry", ignorenulls=True).over(ahead)).select(*on, "_cell", "_before").where(F.xxhash64(*on).isin(*heavy))
