@@ -39,6 +39,7 @@ from cohortline.operators import (
     duplicates_rollup,
     ever_flag,
     first_product,
+    heavy_in_plan,
     heavy_keys,
     latest_snapshot,
     left_fan_out,
@@ -216,7 +217,7 @@ def status_asof(spark, folder):
     history = orders(spark, folder).select("o_custkey", F.to_date("o_orderdate").alias("status_date"), "o_orderkey", "o_orderstatus")
     return status_asof_flag(
         base, history, "o_custkey", "anchor", "status_date", "o_orderstatus", {"done": ["F"], "open": ["O", "P"]}, tie="o_orderkey",
-        heavy=heavy_keys(history, "o_custkey"),
+        heavy=heavy_in_plan(history, "o_custkey"),
     )
 
 

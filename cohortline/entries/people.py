@@ -19,6 +19,7 @@ from cohortline.operators import (
     direct_vs_via,
     event_kinds,
     funnel_flags,
+    heavy_in_plan,
     heavy_keys,
     match_ids,
     outcomes,
@@ -104,7 +105,7 @@ def anchors(ev):
 def asof_forward(spark, folder):
     ev = events(spark, folder)
     found = kind(ev, "error", 95).select("user_id", "ts", "event_id", "value")
-    return asof_forward_first(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", heavy=heavy_keys(found, "user_id"))
+    return asof_forward_first(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", heavy=heavy_in_plan(found, "user_id"))
 
 
 def asof_forward_strict(spark, folder):
@@ -121,7 +122,7 @@ def asof_forward_strict(spark, folder):
 def asof_backward(spark, folder):
     ev = events(spark, folder)
     found = kind(ev, "view", 90).select("user_id", "ts", "event_id", "value")
-    return asof_backward_last(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", how="left", heavy=heavy_keys(found, "user_id"))
+    return asof_backward_last(anchors(ev), found, "user_id", "anchor_ts", "ts", tie="event_id", how="left", heavy=heavy_in_plan(found, "user_id"))
 
 
 def stage_flags(spark, folder):

@@ -42,7 +42,7 @@ from cohortline.operators.rates import (
     share_by_group,
     value_counts,
 )
-from cohortline.operators.skew import heavy_by_key, heavy_keys, left_fan_out, merge_heavy, salted_join, small_side
+from cohortline.operators.skew import heavy_by_key, heavy_in_plan, heavy_keys, left_fan_out, merge_heavy, salted_join, small_side
 from cohortline.operators.stages import (
     coalesce_segment,
     cohort_funnel,

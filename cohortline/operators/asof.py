@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators.skew import as_list, salted_join
+from cohortline.operators.skew import any_heavy, as_list, is_heavy, salted_join
 
 
 def _qualifying(base, events, on, anchor, ts, pick, test, heavy, tie):
@@ -49,7 +49,7 @@ def asof_forward_first(
     ts: str,
     strict: bool = False,
     tie: str | Sequence[str] = (),
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
 ) -> DataFrame:
     """First event per key at/after the anchor (strictly after with ``strict``).
 
@@ -73,7 +73,7 @@ def asof_backward_last(
     strict: bool = False,
     tie: str | Sequence[str] = (),
     how: str = "inner",
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
 ) -> DataFrame:
     """Last event per key at/before the anchor (strictly before with ``strict``).
 
@@ -92,7 +92,7 @@ def asof_backward_last(
 
 
 def attach_first(
-    base: DataFrame, events: DataFrame, on: str | Sequence[str], anchor: str, ts: str, strict: bool = False, heavy: Sequence[int] = ()
+    base: DataFrame, events: DataFrame, on: str | Sequence[str], anchor: str, ts: str, strict: bool = False, heavy: Sequence[int] | Column = ()
 ) -> DataFrame:
     """Add ``ts``: the first event time at/after the row's own anchor, NULL when there is none.
 
@@ -103,9 +103,9 @@ def attach_first(
     keys = as_list(on)
     cols = base.columns
     left, right, by = base, events.select(*keys, F.col(ts).alias("_t")), keys
-    if heavy:
+    if any_heavy(heavy):
         salts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        hot = F.xxhash64(*keys).isin(*heavy)
+        hot = is_heavy(keys, heavy)
         slots = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         slot = F.pmod(F.xxhash64("_t") + F.spark_partition_id(), F.lit(salts)).cast("int")
         left = base.withColumn("_salt", F.explode(slots))

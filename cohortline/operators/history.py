@@ -32,7 +32,7 @@ def status_asof_flag(
     marks: Mapping[str, Sequence[str]],
     day: str | None = None,
     tie: str | Sequence[str] = (),
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
 ) -> DataFrame:
     """Flags from the latest status at/before the anchor, several in one lookup.
 
@@ -87,7 +87,7 @@ def status_profile(
     anchor: str,
     marks: Mapping[str, Sequence[str]],
     days: Sequence[int] = (),
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
 ) -> DataFrame:
     """Per key of ``base`` what its intervals say about the anchor (the earliest of the key), in one pass over them.
 
@@ -127,7 +127,7 @@ def retention_at(
     ts: str,
     metrics: Mapping[str, str],
     anchors: DataFrame | None = None,
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
 ) -> DataFrame:
     """First known value of each metric in a snapshot after the anchor, attached wide.
 

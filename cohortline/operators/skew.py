@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NULL_KEY = 42  # xxhash64 of NULL, whatever its type: rows without a partner that a left join should spread
@@ -44,6 +44,31 @@ def heavy_keys(df: DataFrame, on: str | Sequence[str], share: float = SHARE, flo
     return heavy_by_key(df, on, share=share, floor=floor)[",".join(as_list(on))]
 
 
+def heavy_in_plan(df: DataFrame, on: str | Sequence[str], share: float = SHARE, floor: int = FLOOR) -> Column:
+    """The same list as a scalar subquery of the plan that uses it: no job runs while the plan is built.
+
+    ``df`` holds the rows that are joined, so the list always fits them; it is sketched when the query runs, once for all
+    joins that share the subquery.  At most ``1 / share`` hashes.  ``salted_join``, ``left_fan_out``, ``attach_first``
+    and the as-of joins take it in place of a list.
+    """
+    limit = int(1 / share)
+    hashes = df.select(F.xxhash64(*as_list(on)).alias("h"))
+    found = hashes.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {limit}, {limit * 50})").alias("top"))
+    often = F.filter("top", lambda x: x["count"] >= F.greatest(F.lit(float(floor)), F.lit(share) * F.col("n")))
+    return found.select(F.transform(often, lambda x: x["item"])).scalar()
+
+
+def is_heavy(keys: Sequence[str], heavy: Sequence[int] | Column) -> Column:
+    """Whether a row's key is among the heavy ones, given as a list or as ``heavy_in_plan``; never NULL."""
+    value = F.xxhash64(*keys)
+    return F.coalesce(F.array_contains(heavy, value), F.lit(False)) if isinstance(heavy, Column) else value.isin(*heavy)
+
+
+def any_heavy(heavy: Sequence[int] | Column) -> bool:
+    """Whether a join has to salt at all; a list that only the plan will know always may hold something."""
+    return isinstance(heavy, Column) or bool(heavy)
+
+
 def merge_heavy(*found: Mapping[str, Sequence[int]]) -> dict[str, list[int]]:
     """Heavy keys of several sources together."""
     out: dict[str, list[int]] = {}
@@ -58,7 +83,7 @@ def salted_join(
     one: DataFrame,
     on: str | Sequence[str],
     how: str = "inner",
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
     spread: Sequence[str] = (),
 ) -> DataFrame:
     """Join ``many`` (any number of rows per key) to ``one`` (a single row per key).
@@ -70,10 +95,10 @@ def salted_join(
     keys = as_list(on)
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if not heavy:
+    if not any_heavy(heavy):
         return many.join(one, keys, how)
     salts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.xxhash64(*keys).isin(*heavy)
+    hot = is_heavy(keys, heavy)
     slot = F.pmod(F.xxhash64(*(spread or keys)) + F.spark_partition_id(), F.lit(salts)).cast("int")
     left = many.withColumn("_salt", F.when(hot, slot).otherwise(0))
     right = one.withColumn(
@@ -82,14 +107,14 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def left_fan_out(one: DataFrame, many: DataFrame, on: str | Sequence[str], heavy: Sequence[int] = (), spread: Sequence[str] = ()) -> DataFrame:
+def left_fan_out(one: DataFrame, many: DataFrame, on: str | Sequence[str], heavy: Sequence[int] | Column = (), spread: Sequence[str] = ()) -> DataFrame:
     """Left join that may return several rows per key of ``one`` (unique on ``on``).
 
     With ``heavy`` keys the matched rows come from a salted join and the keys without
     a match are added back, because an outer join cannot split its optional side.
     """
     keys = as_list(on)
-    if not heavy:
+    if not any_heavy(heavy):
         return one.join(many, keys, "left")
     matched = salted_join(many, one, keys, "inner", heavy, spread)
     alone = one.join(many.select(*keys).distinct(), keys, "left_anti")

@@ -17,7 +17,7 @@ def with_stage(
     on: str | Sequence[str],
     stage_flag: str | None = None,
     zero: Sequence[str] = (),
-    heavy: Sequence[int] = (),
+    heavy: Sequence[int] | Column = (),
 ) -> DataFrame:
     """Left join one stage (one row per key).
 

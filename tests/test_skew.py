@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from compare import TESTDATA
 from pyspark.sql import functions as F
 
 from cohortline import operators as O
+from cohortline.entries import ENTRIES
 from cohortline.operators.skew import small_side
 
 
@@ -108,3 +110,44 @@ def test_small_side_checks_size(spark):
     big = spark.range(1000)
     assert "ResolvedHint" in small_side(big, 1000)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in small_side(big, 999)._jdf.queryExecution().analyzed().toString()
+
+
+def test_heavy_keys_inside_the_plan(spark, events, base, heavy):
+    """The subquery names the keys the sketch names, changes no result, and building the plan starts no job."""
+    inside = lambda: O.heavy_in_plan(events, "k", share=0.02, floor=1000)
+    assert set(spark.range(1).select(inside().alias("h")).first()["h"]) == set(heavy)
+    assert spark.range(1).select(O.heavy_in_plan(events, "k").alias("h")).first()["h"] == []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "building only")
+    try:
+        joined = [O.salted_join(events, base, "k", how, inside(), ["ts"]) for how in ("inner", "left")]
+        fanned = O.left_fan_out(base, events, "k", inside(), ["ts", "v"])
+        first = O.asof_forward_first(base, events, "k", "anchor", "ts", tie="v", heavy=inside())
+        added = O.attach_first(base, events, "k", "anchor", "ts", heavy=inside())
+        assert not tracker.getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for got, how in zip(joined, ("inner", "left")):
+        same(got, O.salted_join(events, base, "k", how))
+    same(fanned, O.left_fan_out(base, events, "k"))
+    same(first, O.asof_forward_first(base, events, "k", "anchor", "ts", tie="v"))
+    same(added, O.attach_first(base, events, "k", "anchor", "ts"))
+
+
+def test_heavy_keys_inside_the_plan_spread_rows(spark, events, base):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        j = O.salted_join(events, base, "k", "inner", O.heavy_in_plan(events, "k", share=0.02, floor=1000), ["ts", "v"])
+        assert max(r["count"] for r in j.groupBy(F.spark_partition_id()).count().collect()) < 10000 / 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_entries_find_heavy_keys_in_the_plan(spark):
+    for name in ("asof_forward", "asof_backward", "status_asof_flag"):
+        plan = ENTRIES[name][0](spark, TESTDATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "scalar-subquery" in plan and "approx_top_k" in plan
