@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.recode import flag
 from cohortline.operators.asof import asof_backward_last
-from cohortline.operators.ordered import time_cell
+from cohortline.operators.ordered import _cell
 from cohortline.operators.skew import as_list, salted_join
 from cohortline.operators.stages import with_stage
 
@@ -69,12 +69,12 @@ def status_intervals(
     kind = history.schema[ts].dataType.simpleString()
     extra = [F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)]
     rows = known.select(*on, F.col(ts).alias("valid_from"), F.col(status).alias("status"), *extra)
-    rows = rows.withColumn("_cell", time_cell(on, F.col("valid_from"), kind, heavy, cuts))
+    rows = rows.withColumn("_cell", _cell(on, F.col("valid_from"), kind, heavy, cuts))
     order = Window.partitionBy(*on, "_cell").orderBy("valid_from", *[f"_t{i}" for i in range(len(tie))], "status")
     rows = rows.withColumn("valid_to", F.lead("valid_from").over(order))
     if heavy and cuts:
         # where the next cell of a heavy key begins: one row per heavy key and cell
-        begins = known.where(F.xxhash64(*on).isin(*heavy)).groupBy(*on, time_cell(on, F.col(ts), kind, heavy, cuts).alias("_cell")).agg(F.min(ts).alias("_b"))
+        begins = known.where(F.xxhash64(*on).isin(*heavy)).groupBy(*on, _cell(on, F.col(ts), kind, heavy, cuts).alias("_cell")).agg(F.min(ts).alias("_b"))
         begins = begins.select(*on, "_cell", F.lead("_b").over(Window.partitionBy(*on).orderBy("_cell")).alias("_next"))
         rows = rows.join(F.broadcast(begins), [*on, "_cell"], "left").withColumn("valid_to", F.coalesce("valid_to", "_next"))
     return rows.select(*on, "valid_from", "valid_to", "status")
