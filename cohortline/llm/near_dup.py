@@ -16,8 +16,12 @@ empty are run again with twice the limit.
 1. Documents with one sequence of words are one node; only nodes go on.
 2. ``BANDS`` bands of ``ROWS`` registers: a pair at the threshold misses every band with odds of 3 in a million.
 3. Buckets of more than ``HOT`` members, from copies with many changes of one text, would make all pairs of a group
-   candidates.  Their members get a signature of ``LONG_ROWS`` x ``LONG_BANDS`` registers instead: those
-   bands are as sure to meet at the threshold, but a pair of similarity 0.5 meets in 1 of 50 cases.
+   candidates.  Their members are dealt by their rarest shingles instead (a prefix filter, which is exact): texts of sizes x and y
+   that share at least o shingles have their first common one, in any one order of all shingles, within the first
+   x - o + 1 of the one and y - o + 1 of the other.  The order is by how many of these members hold a shingle, so two copies with too many changes of their own
+   to be linked meet only where they share a change; ``MOST_TOKENS`` bounds the counts kept, not the shingles ordered.
+   The smaller text of a pair needs only its places up to a ninth of its size; a text met at a later place has only smaller partners
+   of certain sizes, and is compared within cells of those sizes.
 4. In each bucket the members are compared with its leader, first the one that shares most bands with others (the text the
    copies were made of), then in rounds with other leaders, skipping members that are already in one class: a group of n near copies costs about n
    checks.  When few open pairs are left, all pairs of members in different classes are checked,
@@ -38,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import find_words, flat, free_names, keep, mix, pieces, short_batches, signed, small, window_hashes, word_hashes
+from cohortline.llm.common import find_words, flat, free_names, keep, mix, pieces, short_batches, signed, small, top_level, window_hashes, word_hashes
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -46,8 +50,10 @@ REGISTERS = 252
 ROWS = 6
 BANDS = REGISTERS // ROWS
 MOST_APART = 66  # registers of 252 whose two-bit sketches differ: 38 at the threshold, deviation 5.7
-HOT = 64  # members; larger buckets are dealt anew by long bands
-LONG_ROWS, LONG_BANDS = 14, 336
+HOT = 64  # members; larger buckets are dealt anew by rare shingles
+MOST_TOKENS = 1 << 18  # counts of shingles that order the prefixes; rarer ones stand first, in the order of their hashes
+SLACK = 1e-3  # shingles; for rounding
+CELL = np.log(1.04)  # sizes of one cell differ by less than 4 percent
 GROUP = 500
 ROUNDS = 2
 MOST_DOCS = 100_000  # removed documents that are broadcast; more are joined
@@ -163,17 +169,89 @@ def node_rows(batches):
         )
 
 
-def long_rows(batches):
-    """(node, bucket, 0) by the long bands."""
-    for batch in pieces(batches, "text", 1 << 17):
-        row, key, weight, _ = shingle_rows(batch.column("text"))
-        n = batch.num_rows
-        bits = signatures(row, key ^ np.uint64(0x5DEECE66D), weight, n, LONG_ROWS * LONG_BANDS).view(np.uint64).reshape(n, LONG_BANDS, LONG_ROWS)
-        band = np.broadcast_to(np.arange(1, LONG_BANDS + 1, dtype=np.uint64) * STEP, (n, LONG_BANDS)).copy()
-        for k in range(LONG_ROWS):
-            band = mix(band + bits[:, :, k])
-        nodes = np.repeat(np.asarray(batch.column("node")), LONG_BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(signed(band).ravel())], ["node", "bucket"])
+def tokens_of(texts: pa.Array):
+    """(row, token) of all texts, sorted by row: one token for each repeat of a shingle, so that shared weights are shared tokens."""
+    row, key, weight, _ = shingle_rows(texts)
+    at = np.repeat(np.arange(len(row)), weight)
+    repeat = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return row[at], mix(key[at] + repeat.astype(np.uint64) * STEP)
+
+
+def token_rows(batches):
+    """(token, n, least) of the n texts of a batch that hold a token, the least of their sizes."""
+    for batch in pieces(batches, "text"):
+        row, token = tokens_of(batch.column("text"))
+        size = np.bincount(row, minlength=batch.num_rows)[row]
+        order = np.lexsort((size, token))
+        token, first, n = np.unique(token[order], return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n.astype(np.int64)), pa.array(size[order][first].astype(np.int64))], ["token", "n", "least"])
+
+
+def size_cell(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 0.5)) / CELL).astype(np.int64)
+
+
+def prefix_rows(counted, similarity: float):
+    """(node, bucket, place, kind) by the tokens that stand first in a text, rare ones before the ``counted`` ones.
+
+    Places that the smaller text of a pair can have go to the token's bucket (kind 0) and to its bucket of their size (1),
+    later places to the token's buckets of their partners' sizes (2).  Tokens of one text alone are left out if all others are counted.
+    """
+    share = similarity / (1 + similarity)
+
+    def run(batches):
+        known, counts, least, whole = counted.value
+        for batch in pieces(batches, "text"):
+            row, token = tokens_of(batch.column("text"))
+            often, floor = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                often, floor = np.where(known[at] == token, counts[at], 0), np.where(known[at] == token, least[at], 0)
+            order = np.lexsort((token, often, row))
+            row, token, often, floor = row[order], token[order], often[order], floor[order]
+            low = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            place, size = np.arange(len(row)) - low[row], np.diff(low)[row]
+            meets = often > 0 if whole else np.ones(len(row), bool)
+            first = place <= (1 - 2 * share) * size + SLACK
+            smaller = np.flatnonzero(meets & first)
+            most = (size - place + SLACK) / share - size  # the largest partner that leaves room for enough shared tokens
+            lowest = np.maximum(similarity * size - SLACK, floor)  # the smallest partner
+            later = np.flatnonzero(meets & ~first & (most + SLACK >= lowest))
+            start = size_cell(lowest[later])
+            cells = size_cell(most[later] + SLACK) - start + 1
+            cell = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells) + np.repeat(start, cells)
+            later = np.repeat(later, cells)
+            sized = lambda at, cell: mix(token[at] ^ mix((cell + 64).astype(np.uint64)))  # noqa: E731, B023
+            at = np.concatenate([smaller, smaller, later])
+            bucket = np.concatenate([token[smaller], sized(smaller, size_cell(size[smaller])), sized(later, cell)])
+            kind = np.repeat(np.arange(3, dtype=np.int32), [len(smaller), len(smaller), len(later)])
+            nodes = np.asarray(batch.column("node"))[row[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(signed(bucket)), pa.array(place[at].astype(np.int64)), pa.array(kind)], ["node", "bucket", "place", "kind"])
+
+    return run
+
+
+def rare_buckets(texts: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node, place): the tokens by which texts that are similar enough are sure to meet."""
+    dealt = texts.repartition("node")
+    counts = dealt.mapInArrow(token_rows, "token long, n long, least long").groupBy("token").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1")
+    counts = keep(counts, "tokens")
+    level = top_level(counts, "n", MOST_TOKENS)
+    known = counts.where(F.col("n") >= (1 << (level if level is not None else 62))).toArrow()  # at most MOST_TOKENS rows
+    token, n, least = known["token"].to_numpy().view(np.uint64), known["n"].to_numpy(), known["least"].to_numpy()
+    order = np.argsort(token)
+    counted = texts.sparkSession.sparkContext.broadcast((token[order], n[order], least[order], len(n) == counts.count()))
+    rows = keep(dealt.mapInArrow(prefix_rows(counted, similarity), "node long, bucket long, place long, kind int"), "rare")
+    # two texts of a token, or in a cell of sizes at least one of either kind
+    some = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
+    some = some.where("n > 1 and (low = 0 or low < high)").select("bucket")
+    return rows.join(some, "bucket").select("bucket", "node", "place")
+
+
+def fits(similarity: float, a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Whether two rows (size, place) of a bucket leave room for enough shared shingles from their places on."""
+    need = F.lit(similarity / (1 + similarity)) * (F.col(a[0]) + F.col(b[0])) - SLACK
+    return (F.col(a[0]) - F.col(a[1]) >= need) & (F.col(b[0]) - F.col(b[1]) >= need)
 
 
 def check_rows(similarity: float):
@@ -266,12 +344,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wanted = wanted.toDF("node", "_id", "_hash", "hot").hint("merge")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["hash"] == F.col("_hash"))).select("node", "hot", "text")
     texts = keep(texts.dropDuplicates(["node"]), "texts")
-    dealt = keep(texts.where("hot").select("node", "text").repartition("node").mapInArrow(long_rows, "node long, bucket long"), "long")
-    again = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = shared.where(F.col("n") <= HOT).select("bucket", "node").unionByName(dealt.join(again, "bucket").select("bucket", "node"))
+    rare = rare_buckets(texts.where("hot").select("node", "text"), similarity)
+    members = shared.where(F.col("n") <= HOT).select("bucket", "node", F.lit(0).cast("long").alias("place")).unionByName(rare)
     members = keep(members.join(sketches.select("node", "size", "meets"), "node"), "members")
 
-    labelled = members.select("bucket", "node", "size", "meets", F.col("node").alias("label"))
+    labelled = members.select("bucket", "node", "place", "size", "meets", F.col("node").alias("label"))
     tried = None
     for turn in range(ROUNDS + 1):
         per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -285,18 +362,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         if last:
             # members bring their sketches, so that the join of a bucket gives only pairs worth checking
             open_ = open_.join(sketches.select("node", *SKETCH).hint("merge"), "node")
-            side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])  # noqa: E731, B023
-            near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("sa", "sb") >= similarity * F.greatest("sa", "sb"))
+            side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("place").alias(f"p{x}"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])  # noqa: E731, B023
+            near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(similarity, ("sa", "pa"), ("sb", "pb"))
             near = near & (apart([f"a_{c}" for c in SKETCH], [f"b_{c}" for c in SKETCH]) <= MOST_APART)
             pairs = side("a").join(side("b"), "bucket").where(near)
         else:
             rank = F.xxhash64("node", F.lit(turn)) if turn else -F.col("meets")
-            order = F.struct(rank.alias("rank"), "node", "label", "size")
+            order = F.struct(rank.alias("rank"), "node", "label", "size", "place")
             head = open_.groupBy("bucket").agg(F.min(order).alias("head"))
             pairs = open_.join(head, "bucket").where(F.col("label") != F.col("head.label"))
-            pairs = pairs.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.size").alias("sa"), F.col("size").alias("sb"))
-        # similar texts have similar sizes
-        pairs = pairs.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")).select("a", "b").distinct()
+            pairs = pairs.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.size").alias("sa"), F.col("size").alias("sb"), F.col("head.place").alias("pa"), F.col("place").alias("pb"))
+            pairs = pairs.where(fits(similarity, ("sa", "pa"), ("sb", "pb")))  # similar texts have similar sizes, too
+        pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, [F.least(pairs["a"], pairs["b"]) == tried["x"], F.greatest(pairs["a"], pairs["b"]) == tried["y"]], "left_anti")
         if not last:

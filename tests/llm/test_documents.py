@@ -8,7 +8,7 @@ import re
 import zlib
 
 import pytest
-from llm_helpers import SCHEMA, WORD, jaccard, shingles, table, texts
+from llm_helpers import SCHEMA, WORD, jaccard, sentence, shingles, table, texts
 from pyspark.sql import functions as F
 
 from cohortline.llm import decontaminate, language, lm_score, mixing, near_dup, pii, substrings, token_counts
@@ -53,6 +53,55 @@ def test_near_duplicates_match_brute_force(docs, monkeypatch, hot):
     assert kept.columns == docs.columns and kept.count() == sum(r["first"] for r in found)
 
 
+@pytest.mark.parametrize("most", [near_dup.MOST_TOKENS, 8, 0])
+def test_rare_shingles_meet_every_similar_pair(spark, docs, monkeypatch, most):
+    """Every pair at the threshold has a common bucket that leaves it room, however many shingles are counted; sizes and repeats differ."""
+    monkeypatch.setattr(near_dup, "MOST_TOKENS", most)
+    rng = random.Random(11)
+    base = " ".join(rng.choices([f"w{k}" for k in range(40)], k=150)).split()
+    kept = {0: " ".join(base), 1: "word " * 300, 2: "word " * 245, 3: "word " * 238}
+    for i in range(4, 160):  # changed words, cut ends, repeated passages
+        w = list(base[: rng.choice([150, 148, 140, 125])])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(["changed", f"own{i}", "w1"])
+        kept[i] = " ".join(w + rng.choice([[], w[:12], ["tail"] * 9]))
+    kept = {i: t for t, i in {t: i for i, t in kept.items()}.items()}
+    texts = spark.createDataFrame(list(kept.items()), "node long, text string")
+    bags = {i: shingles(t) for i, t in kept.items()}
+    buckets = collections.defaultdict(list)
+    for r in near_dup.rare_buckets(texts, 0.8).collect():
+        buckets[r["bucket"]].append((r["node"], sum(bags[r["node"]].values()), r["place"]))
+    rows = [(*x, *y) for members in buckets.values() for x in members for y in members if x[0] < y[0]]
+    rows = spark.createDataFrame(rows, "a long, sa long, pa long, b long, sb long, pb long")
+    met = {(r["a"], r["b"]) for r in rows.where(near_dup.fits(0.8, ("sa", "pa"), ("sb", "pb"))).select("a", "b").distinct().collect()}
+    similar = {(a, b) for a in kept for b in kept if a < b and jaccard(bags[a], bags[b]) >= 0.8}
+    assert len(similar) > 500 and similar <= met
+
+
+def test_checked_pairs_follow_the_size_of_a_group_of_unlinked_copies(spark, monkeypatch):
+    """Copies of one text that are all just below the threshold: no all-pairs check, whatever their number."""
+    rng = random.Random(12)
+    base = sentence(rng, 150).split()
+    counted = []
+
+    def count(df, name):
+        df = keep(df, name)
+        if name == "pairs":
+            counted[-1] += df.count()
+        return df
+
+    keep = near_dup.keep
+    monkeypatch.setattr(near_dup, "keep", count)
+    monkeypatch.setattr(near_dup, "HOT", 8)  # smaller buckets are compared whole
+    for n in (150, 300):
+        rows = [(0, " ".join(base))] + [(i, " ".join(base[:60] + [f"own{i}x{k}" for k in range(14)] + base[74:])) for i in range(1, n)]
+        assert 0.75 < jaccard(shingles(rows[1][1]), shingles(rows[2][1])) < 0.8 and 0.75 < jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.8
+        counted.append(0)
+        found = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len({r["class_id"] for r in found}) == n
+    assert counted[0] <= 2 * 150 and counted[1] <= 2 * 300, counted
+
+
 def test_bag_min_hash_estimates_weighted_similarity():
     import numpy as np
     import pyarrow as pa
